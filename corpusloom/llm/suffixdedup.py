@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import materialize, partitions, splitmix
 
 GRAM = 20
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 SAMPLE = 64
 LAST = (1 << 63) - 1
 
@@ -394,7 +394,7 @@ def _painted(docs: DataFrame, length: int, finish, schema: str) -> DataFrame:
     assert GRAM + 8 <= length <= GRAM + 31, "a run's windows are the bits of a 32-bit mask"
     stored = materialize(blocks(docs, length), "blocks", "none")
     n = partitions(docs.sparkSession)
-    bounds = _bounds(stored, n)
+    bounds = _bounds(stored, 2 * n)  # two per task: half the memory at a time
     body = stored.select("block", "ids", "none", "ends", "raw")
     sent = body.mapInArrow(_prints(bounds, length), "part long, block long, body binary")
     found = sent.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_common, "part long, block long, body binary")
