@@ -10,7 +10,8 @@ star-shaped candidate edges, confirmed on full shingle sets.
 4. Two members of a bucket may be linked though neither is linked to a centre. So buckets that still
    hold several components are followed up without a cap: each class outside its family's largest
    component meets the family's other components, where sizes and shared shingles allow a link.
-   Shingles that occur in one class only bound what that class can share.
+   Shingles that occur in one class only bound what that class can share, and counts of the others
+   in PARTS parts bound what two classes can share.
 
 At similarity 0.8 a pair shares no band with probability (1 - 0.8**4)**32, about 5e-8.
 
@@ -28,6 +29,8 @@ from .components import components
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
+#: Parts of a set in which shared shingles are bounded; splits of a hot family in the follow-up.
+PARTS, SALTS = 64, 8
 #: Word hashes kept from text to text in a worker.
 KNOWN_WORDS = 500_000
 
@@ -142,6 +145,35 @@ def may_link(percent: int, n1: Column, c1: Column, n2: Column, c2: Column) -> Co
     return 100 * most >= percent * (n1 + n2 - most)
 
 
+def shared_counts(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, fp1, n, c, parts) of the classes that can have a link: c shingles are in some other
+    class's set too, parts counts them by the hash's last six bits."""
+    alone = (sets.select("id", F.explode("set").alias("g")).groupBy("g").agg(F.count("*").alias("k"), F.min("id").alias("id"))
+             .where("k = 1").groupBy("id").agg(F.collect_list("g").alias("alone")))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            counts = []
+            for s, x in zip(b.column("set"), b.column("alone")):
+                s = np.asarray(s.values)
+                s = np.setdiff1d(s, np.asarray(x.values)) if x.is_valid else s
+                counts.append(np.bincount(s & (PARTS - 1), minlength=PARTS).astype(np.int32))
+            c = [int(x.sum()) for x in counts]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("fp1"), b.column("n"), pa.array(c, pa.int64()), pa.array(counts, pa.list_(pa.int32()))], names=["id", "fp1", "n", "c", "parts"])
+
+    made = sets.join(alone, "id", "left").select("id", "fp1", "n", "set", "alone").mapInArrow(run, "id long, fp1 long, n long, c long, parts array<int>")
+    return made.where(100 * F.col("c") >= percent * F.col("n"))
+
+
+def can_share(percent: int, n1: Column, parts1: Column, n2: Column, parts2: Column) -> Column:
+    """may_link with a closer bound: what two sets share in each part is at most the smaller count."""
+    most = F.aggregate(F.zip_with(parts1, parts2, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    return 100 * most >= percent * (n1 + n2 - most)
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, afp, b, bfp) whose full sets are similar enough, as (a, b)."""
     side = lambda x: sets.select(F.col("id").alias(x), F.col("fp1").alias(f"{x}fp"), F.col("n").alias(f"{x}n"), F.col("set").alias(f"{x}set"))
@@ -159,10 +191,7 @@ def links(docs: DataFrame, signed: DataFrame, words: int, percent: int) -> DataF
     several = bucketed.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
     members = materialize(bucketed.join(several, "bucket"), "buckets")
     sets = materialize(shingle_sets(docs, members.select("id", "fp1").distinct(), words), "sets")
-    # c: how many of a class's shingles some other class in a bucket has.
-    alone = (sets.select("id", F.explode("set").alias("g")).groupBy("g").agg(F.count("*").alias("k"), F.min("id").alias("id"))
-             .where("k = 1").groupBy("id").agg(F.count("*").alias("alone")))
-    nodes = materialize(sets.select("id", "fp1", "n").join(alone, "id", "left").select("id", "fp1", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("c")).where(100 * F.col("c") >= percent * F.col("n")), "nodes")
+    nodes = materialize(shared_counts(sets, percent), "nodes")
 
     rows = members.join(nodes, ["id", "fp1"])
     end = lambda c, x: [F.col(f"{c}.id").alias(x), F.col(f"{c}.fp1").alias(f"{x}fp"), F.col(f"{c}.n").alias(f"{x}n"), F.col(f"{c}.c").alias(f"{x}c")]
@@ -174,7 +203,7 @@ def links(docs: DataFrame, signed: DataFrame, words: int, percent: int) -> DataF
     comp = materialize(components(found), "components")
 
     # The follow-up: buckets whose members are still in several components.
-    named = rows.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = rows.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")).drop("parts")
     split = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     open_ = materialize(named.join(split, "bucket").select("id", "fp1", "n", "c", "component", "lo").distinct(), "open")
     if open_.isEmpty():
@@ -184,9 +213,11 @@ def links(docs: DataFrame, signed: DataFrame, words: int, percent: int) -> DataF
     size = there.groupBy("family", "component").agg(F.count("*").alias("size"))
     largest = size.groupBy("family").agg(F.max(F.struct("size", "component"))["component"].alias("largest"))
     there = there.join(largest, "family").withColumn("main", F.col("component") == F.col("largest"))
-    a, b = there.where("not main").alias("p"), there.alias("q")
-    ok = (F.col("p.component") != F.col("q.component")) & (F.col("q.main") | (F.col("p.id") < F.col("q.id"))) & may_link(percent, *map(F.col, ("p.n", "p.c", "q.n", "q.c")))
-    pairs = a.join(b, (F.col("p.family") == F.col("q.family")) & ok).select(F.col("p.id").alias("a"), F.col("p.fp1").alias("afp"), F.col("q.id").alias("b"), F.col("q.fp1").alias("bfp"))
+    there = there.join(nodes.select("id", "fp1", "parts"), ["id", "fp1"])
+    a = there.where("not main").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).alias("p")
+    b = there.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS))))).alias("q")
+    ok = (F.col("p.component") != F.col("q.component")) & (F.col("q.main") | (F.col("p.id") < F.col("q.id"))) & may_link(percent, *map(F.col, ("p.n", "p.c", "q.n", "q.c"))) & can_share(percent, *map(F.col, ("p.n", "p.parts", "q.n", "q.parts")))
+    pairs = a.join(b, (F.col("p.family") == F.col("q.family")) & (F.col("p.salt") == F.col("q.salt")) & ok).select(F.col("p.id").alias("a"), F.col("p.fp1").alias("afp"), F.col("q.id").alias("b"), F.col("q.fp1").alias("bfp"))
     more = materialize(confirm(pairs, sets, percent), "links")
     if more.isEmpty():
         return comp
