@@ -8,13 +8,15 @@ Python or the tokenizer calls so, whichever is more: cutting less often is alway
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 #: White space as Python has it (a superset of the tokenizers'), after a space.
 _PAIRS = [" " + chr(c) for c in range(0x3001) if chr(c).isspace()]
 _ASCII_PAIRS = [x for x in _PAIRS if x.isascii()]
 _UNIT = re.compile(r"(?<!^)(?= \S)")
-#: Units longer than this are not kept from batch to batch; the cache restarts at so many entries.
-LONG, ENTRIES = 48, 600_000
+#: Units longer than this are not kept from batch to batch; beyond ENTRIES the
+#: cache goes back to the first KEPT.
+LONG, ENTRIES, KEPT = 48, 600_000, 450_000
 
 
 def irregular(text: str) -> bool:
@@ -40,8 +42,8 @@ class UnitCache:
         space is kept without it; a text's first unit is kept with a line feed in front (no other starts so)."""
         parts = []
         known = self.known
-        if len(known) > ENTRIES:
-            known.clear()
+        if len(known) > ENTRIES:  # what came first is what comes often
+            self.known = known = dict(islice(known.items(), KEPT))
         for t in texts:
             if not t:
                 parts.append([])

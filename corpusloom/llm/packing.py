@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import materialize, splitmix, tokenizer_path
 from .encoder import LibraryCache, id_type, slices, worker_cache
 
-DIMS, BITS, HASHED = 4, 10, 4096
+DIMS, BITS, HASHED = 4, 10, 1024
 
 
 def projection(seed: int = 7):
@@ -33,20 +33,23 @@ def projection(seed: int = 7):
     return np.where(k & np.uint64(1), 1.0, -1.0).reshape(HASHED, DIMS)
 
 
-def cells(ids_list, matrix):
+def token_hashes(size: int):
+    """Slot and sign of each token id in the hashed vector, from a rule."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        h = splitmix(np.arange(size, dtype=np.uint64))
+    return (h & np.uint64(HASHED - 1)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0)
+
+
+def cells(ids_list, matrix, hashes):
     """Grid cells (n x DIMS of 0..2**BITS-1) of documents' hashed token vectors."""
     import numpy as np
 
-    out = np.zeros((len(ids_list), DIMS))
-    for k, ids in enumerate(ids_list):
-        with np.errstate(over="ignore"):
-            h = splitmix(ids.astype(np.uint64))
-        sign = np.where(h >> np.uint64(63), 1.0, -1.0)
-        v = np.bincount((h & np.uint64(HASHED - 1)).astype(np.int64), sign, HASHED)
-        v = np.sign(v) * np.log1p(np.abs(v))
-        at = np.flatnonzero(v)
-        if len(at):
-            out[k] = v[at] @ matrix[at] / np.sqrt((v[at] ** 2).sum())
+    slot, sign = hashes
+    v = np.array([np.bincount(slot[ids], sign[ids], HASHED) for ids in ids_list])
+    v = np.sign(v) * np.log1p(np.abs(v))
+    out = v @ matrix / np.sqrt(np.maximum((v * v).sum(1), 1e-12))[:, None]
     # Each coordinate is about standard normal whatever the data: the logistic curve spreads it.
     return np.clip(((1 << BITS) / (1 + np.exp(-1.7 * out))).astype(np.int64), 0, (1 << BITS) - 1)
 
@@ -92,6 +95,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         from pyspark import TaskContext
 
         cache, matrix = worker_cache(LibraryCache, path), projection()
+        hashes = token_hashes(len(cache.starts))
         row = TaskContext.get().partitionId() << 33
         tail = np.array([end_id], cache.dtype).tobytes()
         for b in batches:
@@ -99,7 +103,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             for s in slices(texts):
                 raw = [x + tail for x in cache.texts(texts[s])]
                 ids = [np.frombuffer(x, cache.dtype) for x in raw]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(ids))), doc_ids[s], pa.array(hilbert(cells(ids, matrix))), pa.array([len(x) for x in ids], pa.int64()), pa.array(raw, pa.binary())], names=["row", "doc_id", "curve", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(ids))), doc_ids[s], pa.array(hilbert(cells(ids, matrix, hashes))), pa.array([len(x) for x in ids], pa.int64()), pa.array(raw, pa.binary())], names=["row", "doc_id", "curve", "n", "ids"])
                 row += len(ids)
 
     return docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, curve long, n long, ids binary")
@@ -123,7 +127,7 @@ def offsets(tokens: DataFrame) -> DataFrame:
     placed = materialize(tokens.select("row", "n", *order[:2]).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "row long, n long, part int, local long"), "curve")
     # One row per task of the sort.
     base = placed.groupBy("part").agg(F.sum("n").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    return placed.join(base, "part").select("row", (F.col("base") + F.col("local")).alias("at"))
+    return placed.join(materialize(base, "bases"), "part").select("row", (F.col("base") + F.col("local")).alias("at"))
 
 
 def cut(placed: DataFrame, length: int, width: str) -> DataFrame:

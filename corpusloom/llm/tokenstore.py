@@ -17,7 +17,7 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import new_path, tokenizer_path
+from .common import materialize, new_path, tokenizer_path
 from .encoder import LibraryCache, slices, worker_cache
 
 SCHEMA = "doc_id long, part int, place long, local_start long, n_tokens long, ids array<int>"
@@ -64,7 +64,8 @@ def read_tokens(spark: SparkSession, out: str) -> DataFrame:
     # One row per file that has rows, so the window below sorts as many rows as there are files.
     sums = t.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     base = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    return t.join(base, "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    # Written first, so that its size is known and the ids are not shuffled to meet it.
+    return t.join(materialize(base, "bases"), "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
 def checksums(tokens: DataFrame) -> DataFrame:
