@@ -138,7 +138,7 @@ def blocks(docs: DataFrame, length: int) -> DataFrame:
             at = anchors(raw, starts, length)[0]
             some = at[splitmix(at.astype(np.uint64)).argsort()[:SAMPLE]] if len(at) else at
             null = np.array([i is None for i in ids])
-            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([np.array([LAST if i is None else i for i in ids], np.int64).tobytes()]), pa.array([null.tobytes()]), pa.array([starts[1:].tobytes()]), pa.array([zstandard.compress(raw, 1)], pa.binary()), pa.array([_leading(raw, some)], pa.list_(pa.int64()))], names=["block", "ids", "none", "ends", "raw", "sample"])
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([np.array([LAST if i is None else i for i in ids], np.int64).tobytes()]), pa.array([null.tobytes()]), pa.array([starts[1:].tobytes()]), pa.array([zstandard.compress(raw, 6)], pa.binary()), pa.array([_leading(raw, some)], pa.list_(pa.int64()))], names=["block", "ids", "none", "ends", "raw", "sample"])
 
         ids, texts, size = [], [], 0
         for b in batches:
@@ -285,7 +285,7 @@ def _suffixes(bounds: list[int], length: int):
                     t = s[i:j]
                     text = b"".join(raw[x : x + y] for x, y in zip(first[t].tolist(), size[t].tolist()))
                     head = np.concatenate([doc[t], first[t], size[t]])
-                    rows.append((int(p[i]), block, zstandard.compress(len(t).to_bytes(4, "little") + head.tobytes() + text, 1)))
+                    rows.append((int(p[i]), block, zstandard.compress(len(t).to_bytes(4, "little") + head.tobytes() + text, 3)))
                 yield _batch(rows, ["part", "block", "body"], [pa.int64(), pa.int64(), pa.binary()])
 
     return run
