@@ -18,11 +18,13 @@ extra columns are ignored.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import materialize
 
 FIT_ROWS, LEADING, BLOCK, QUERY_BLOCK, STEP = 4096, 16, 4096, 512, 512
+#: Levels of block lengths to a doubling.
+LEVELS = 16
 
 
 def integers(vectors: DataFrame, scale: int) -> DataFrame:
@@ -153,6 +155,16 @@ def search(queries, candidates, turn, k: int, floor):
     return [(i, int(x), int(y)) for i, (sc, ids) in enumerate(held) for y, x in zip(sc, ids)]
 
 
+def _level(length: Column) -> Column:
+    """LEVELS levels to a doubling of length; one below all others for length 0."""
+    return F.when(length > 0, F.floor(F.log2(length) * LEVELS)).otherwise(F.lit(-1100 * LEVELS)).cast("int")
+
+
+def _ranked(scored: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by ``every``, the k
     best of all other rows."""
@@ -202,10 +214,15 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
 
     at = opening.join(qs.select("qblock", "qn"), "qblock").groupBy("qblock").applyInPandas(floors, "qblock long, floor binary, lowest double")
     heads = qs.select("qblock", "qtop").join(at, "qblock", "left")
-    # Pairs of block numbers, where the longest vectors of both could still reach a threshold.
-    tops = cand.where(F.col("block") != first).groupBy().agg(F.collect_list(F.struct("block", "top")).alias("tops"))
-    pairs = heads.join(tops).withColumn("x", F.explode("tops")).where(F.coalesce(F.col("qtop") * F.col("x.top") * (1 + 1e-7) + 1 >= F.col("lowest"), F.lit(True))).select("qblock", "floor", F.col("x.block").alias("cblock"))
+    # Pairs of block numbers, where the longest vectors of both could still reach a threshold. Lengths
+    # are dealt to levels, so that blocks meet by level and no task sees all of them.
+    rest = cand.where(F.col("block") != first).select(F.col("block").alias("cblock"), "top", _level(F.col("top")).alias("level"))
+    lo, hi = rest.agg(F.min("level"), F.max("level")).first()
+    if lo is None:
+        return _ranked(opening, k)
+    need = (F.col("lowest") - 1) / (F.col("qtop") * (1 + 1e-7))
+    start = F.when((F.col("qtop") > 0) & (need > 0), F.greatest(_level(need) - 1, F.lit(lo))).otherwise(F.lit(lo))
+    reach = heads.withColumn("start", start).where(F.col("start") <= hi).withColumn("level", F.explode(F.sequence("start", F.lit(hi))))
+    pairs = reach.join(rest, "level").where(F.coalesce(F.col("qtop") * F.col("top") * (1 + 1e-7) + 1 >= F.col("lowest"), F.lit(True))).select("qblock", "floor", "cblock")
     more = pairs.join(qs.drop("qtop", "qn"), "qblock").join(cs, "cblock").mapInArrow(meet, kind)
-    every_one = opening.unionByName(more)
-    w = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
-    return every_one.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return _ranked(opening.unionByName(more), k)
