@@ -219,8 +219,10 @@ def _common(batches):
         every = np.sort(np.concatenate(lists))
         dup = np.unique(every[1:][every[1:] == every[:-1]])
         for (block, _), values in zip(rows, lists):
-            hit = np.intersect1d(values, dup)
+            k = np.searchsorted(dup, values)
+            hit = values[(k < len(dup)) & (dup[np.minimum(k, len(dup) - 1)] == values)] if len(dup) else dup
             if len(hit):
+                hit = hit[np.append(True, hit[1:] != hit[:-1])]
                 yield part, block, _shrink(np.diff(hit, prepend=np.uint32(0)))
 
     for part, rows in _runs(batches, "part", ["block", "body"]):
@@ -320,15 +322,14 @@ def _matched(length: int):
         import numpy as np
         import zstandard
 
-        heads, texts, owner = [], [], []
-        for k, (_, body) in enumerate(rows):
+        heads, texts, ends = [], [], [0]
+        for _, body in rows:
             x = zstandard.decompress(body)
             n = int.from_bytes(x[:4], "little")
             heads.append(np.frombuffer(x, np.int64, 3 * n, 4).reshape(3, n))
             texts.append(x[4 + 24 * n :])
-            owner.append(np.full(n, k))
+            ends.append(ends[-1] + n)
         doc, first, size = np.concatenate(heads, axis=1)
-        owner = np.concatenate(owner)
         raw = b"".join(texts)
         at = np.concatenate([[0], np.cumsum(size)[:-1]])
         count = size - length + 1
@@ -357,8 +358,8 @@ def _matched(length: int):
         mask = np.zeros(len(size), np.int64)
         hit = np.flatnonzero(again)
         np.bitwise_or.at(mask, row[hit], np.int64(1) << off[hit])
-        for k, (block, _) in enumerate(rows):
-            m = np.flatnonzero((owner == k) & (mask != 0))
+        for (block, _), begin, end in zip(rows, ends, ends[1:]):
+            m = begin + np.flatnonzero(mask[begin:end])
             if len(m):
                 m = m[np.argsort(first[m], kind="stable")]
                 yield block, _reply(first[m], mask[m])
