@@ -77,7 +77,7 @@ cc-by-nc|cc|cc by nc|2.0 2.5 3.0 4.0
 mit|mit|(the )?(mit|expat) licen[cs]e|
 bsd-4-clause|bsd|(bsd 4 clause|original bsd)( licen[cs]e)?|
 bsd-3-clause|bsd|(bsd 3 clause|(new|modified|revised) bsd)( licen[cs]e)?|
-bsd-2-clause|bsd|(bsd 2 clause|(simplified|free)bsd)( licen[cs]e)?|
+bsd-2-clause|bsd|(bsd 2 clause|(simplified|free) bsd)( licen[cs]e)?|
 bsd|bsd|bsd licen[cs]e|
 isc|isc|isc licen[cs]e|
 zlib|zlib|zlib( libpng)? licen[cs]e|
@@ -90,7 +90,7 @@ vim|vim|vim licen[cs]e|
 unlicense|unlicense|(the )?unlicense|
 wtfpl|what the|do what the f\\S{1,8} you want to public licen[cs]e|2
 beerware|beer|(the )?beer ?ware licen[cs]e|
-unicode|unicode|unicode (license agreement|terms of use)|
+unicode|unicode|unicode (licen[cs]e agreement|terms of use)|
 json|json|json licen[cs]e|
 public-domain|public domain|(released|placed|dedicated|is) (in|into|to) the public domain|
 mit|permission is hereby|permission is hereby granted free of charge to any person obtaining a copy|

@@ -217,6 +217,8 @@ def test_licenses(odd, empty):
 def test_license_containment(spark):
     d = spark.createDataFrame([(1, "under the GNU Lesser General Public License, version 2.1 or so")], "doc_id long, text string")
     assert licenses.license_report(d).first().labels == "gpl,lgpl-2.1"
+    d = spark.createDataFrame([(1, "the Simplified BSD License"), (2, "Unicode License Agreement")], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licenses.license_report(d).collect()} == {1: "bsd-2-clause", 2: "unicode"}
 
 
 def test_secrets(spark, odd, empty):
