@@ -62,6 +62,33 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_state: dict = {}
+
+
+def worker_state(key, make):
+    """What an operator keeps from task to task in a Python worker. It goes when another operator's
+    begins: a worker that serves several operators in turn holds the largest of them, not their sum."""
+    if key not in _state:
+        _state.clear()
+        trim()
+        _state[key] = make()
+    return _state[key]
+
+
+def trim() -> None:
+    """Give freed memory of this worker back to the system, where its C library can."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
 def splitmix(x):
     """64-bit finaliser over a numpy uint64 array (wraps)."""
     import numpy as np

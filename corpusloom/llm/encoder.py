@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 from itertools import islice
 
+from .common import worker_state
+
 #: White space as Python has it (a superset of the tokenizers'), after a space.
 _PAIRS = [" " + chr(c) for c in range(0x3001) if chr(c).isspace()]
 _ASCII_PAIRS = [x for x in _PAIRS if x.isascii()]
@@ -110,18 +112,12 @@ def id_type(path: str) -> str:
     return worker_cache(LibraryCache, path).dtype
 
 
-_caches: dict[tuple, UnitCache] = {}
-
-
 def worker_cache(kind: type, *args) -> UnitCache:
     """One cache per Python worker, kept from task to task."""
-    key = (kind, *args)
-    if key not in _caches:
-        import os
+    import os
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _caches[key] = kind(*args)
-    return _caches[key]
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return worker_state((kind, *args), lambda: kind(*args))
 
 
 def slices(texts: list, most: int = 4_000_000):

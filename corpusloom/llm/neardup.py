@@ -24,17 +24,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize, splitmix
+from .common import materialize, splitmix, trim, worker_state
 from .components import components
+from .encoder import slices
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 #: Parts of a set in which shared shingles are bounded; splits of a hot family in the follow-up.
 PARTS, SALTS = 64, 8
 #: Word hashes kept from text to text in a worker.
-KNOWN_WORDS = 500_000
-
-_words: dict[bytes, int] = {}
+KNOWN_WORDS = 200_000
 
 
 def shingles(text: str | None, words: int):
@@ -46,11 +45,12 @@ def shingles(text: str | None, words: int):
     w = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not w:
         return np.zeros(0, np.uint64)
-    if len(_words) > KNOWN_WORDS:
-        _words.clear()
-    for x in set(w).difference(_words):
-        _words[x] = xxhash.xxh3_64_intdigest(x)
-    h = np.fromiter(map(_words.__getitem__, w), np.uint64, len(w))
+    known: dict[bytes, int] = worker_state(shingles, dict)
+    if len(known) > KNOWN_WORDS:
+        known.clear()
+    for x in set(w).difference(known):
+        known[x] = xxhash.xxh3_64_intdigest(x)
+    h = np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
     k = min(words, len(w))
     with np.errstate(over="ignore"):
         out = np.full(len(w) - k + 1, np.uint64(k))
@@ -118,6 +118,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 values = bands(rows).astype(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * BANDS), pa.array(values.ravel()))
                 yield pa.RecordBatch.from_arrays([ids[at : at + 512], pa.array(sizes, pa.int64()), pa.array(fp[:, 0], mask=none), pa.array(fp[:, 1], mask=none), lists], names=["doc_id", "n", "fp1", "fp2", "bands"])
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp1 long, fp2 long, bands array<long>")
 
@@ -130,9 +131,13 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
         import xxhash
 
         for b in batches:
-            sets = [shingles(t, words) for t in b.column("text").to_pylist()]
-            fp = [int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "fp1", "n", "set"])
+            texts = b.column("text").to_pylist()
+            for part in slices(texts):
+                sets = [shingles(t, words) for t in texts[part]]
+                fp = [int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True) for s in sets]
+                ids = b.column("doc_id")[part]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(fp, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "fp1", "n", "set"])
+        trim()
 
     some = docs.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     made = some.mapInArrow(run, "id long, fp1 long, n long, set array<long>")
@@ -163,6 +168,7 @@ def shared_counts(sets: DataFrame, percent: int) -> DataFrame:
                 counts.append(np.bincount(s & (PARTS - 1), minlength=PARTS).astype(np.int32))
             c = [int(x.sum()) for x in counts]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("fp1"), b.column("n"), pa.array(c, pa.int64()), pa.array(counts, pa.list_(pa.int32()))], names=["id", "fp1", "n", "c", "parts"])
+        trim()
 
     made = sets.join(alone, "id", "left").select("id", "fp1", "n", "set", "alone").mapInArrow(run, "id long, fp1 long, n long, c long, parts array<int>")
     return made.where(100 * F.col("c") >= percent * F.col("n"))
