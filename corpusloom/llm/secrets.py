@@ -1,7 +1,7 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of key characters with a digit in it, or the value of an assignment to a name
-such as ``password``. Its features are length, character transitions and spread, dictionary
+A candidate is the value of an assignment to a name such as ``password`` (spaces and quotes around
+the sign allowed, eight characters or more), or a run of key characters with a digit in it. Its features are length, character transitions and spread, dictionary
 coverage, path marks around it, and the words beside it. A random forest trained on labelled
 findings gives the probability of a real secret. The trained trees are turned into one nested
 CASE expression, so that scoring, like the search, is a DataFrame expression evaluated row by row:
@@ -25,13 +25,16 @@ CONTEXT, THRESHOLD, LEAST = 48, 0.5, 16
 # Names of things to keep secret, names of things that only look so, common words.
 SECRET_NAMES = "password passwd pwd pass secret token apikey api_key api-key access_key auth authorization bearer credential credentials private_key client_secret signature key".split()
 PUBLIC_NAMES = "commit sha sha1 sha256 md5 checksum digest hash revision rev uuid guid id isbn issn doi version build img image src href file path url serial order invoice example sample dummy placeholder phone tel".split()
+PLAIN_VALUES = "required everything available authentication something wonderful username undefined optional following different important information unknown generated reminder protected character mandatory published".split()
 WORDS = "the and for that with this from have not are was you all new can has more will home about page free time site news info contact data user name example test sample key your here changeme default value string number file image index html http www com org version release build config server client local admin login public static assets lib node module package report final draft section chapter item order invoice model series".split()
 
 KEY = "[A-Za-z0-9+/_-]"
 ASSIGNED = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
-#: A key-like run of LEAST characters or more with a digit, not inside a longer run; or an assigned value.
-CANDIDATE = (rf"(?<!{KEY})(?=[A-Za-z+/_-]*+[0-9]){KEY}{{{LEAST},}}+={{0,2}}"
-             rf"|(?<=(?i:password|passwd|secret|token|apikey|api_key)[=:]{{1}}[\"']{{0,1}})[^\s\"',;<>]{{8,}}+")
+#: An assigned value, up to the closing quote where it is quoted, or else a key-like run of LEAST
+#: characters or more with a digit, not inside a longer run. The short lookbehind spares most
+#: places the long one.
+CANDIDATE = (rf"(?<=[=:]\s{{0,3}}[\"']?)(?=[^\s\"'])(?<={ASSIGNED})(?:(?<=\")[^\s\"]{{8,}}+(?=\")|(?<=')[^\s']{{8,}}+(?=')|[^\s\"',;<>]{{8,}}+)"
+             rf"|(?<!{KEY})(?=[A-Za-z+/_-]*+[0-9]){KEY}{{{LEAST},}}+={{0,2}}")
 
 FEATURES = ["length", "transitions", "spread", "digits", "upper", "hexadecimal", "dictionary", "slashes", "separators", "path", "secret_near", "public_near", "assigned", "quoted", "known_prefix", "repeats"]
 
@@ -93,6 +96,20 @@ def generated_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
         (F.concat(name, sign), pick(17, ["your_password_1_here", "xxxxxxxxxxxxxxxx1234", "example_key_0000000000", "changeme_default_123", "00000000000000000000", "test_value_1111111111"]), rest, 0),
         (F.lit("img src=\"data/"), F.concat(pick(23, WORDS), F.lit("/"), pick(24, WORDS), F.lit("-"), F.substring(h(18), 1, 6), F.lit("/"), pick(25, WORDS)), F.lit(".png\" "), 0),
     ]
+    short, year = pick(50, WORDS + PLAIN_VALUES), F.pmod(F.xxhash64("id", F.lit(51)), F.lit(2100)).cast("string")
+    letters = F.translate(h(19), "0123456789", "ghijklmnop")
+    plain_value = pick(52, PLAIN_VALUES)
+    code = F.concat(pick(53, ["os.environ", "process.env.", "config.get", "request.headers.", "self._", "getpass.getpass(", "settings."]), pick(54, ["", "SECRET_KEY", "token", "password", "value"]))
+    kinds += [  # assigned values without a key's look, and values that are no secrets
+        (F.concat(pick(1, plain), F.lit(" "), name, sign), F.concat(F.initcap(short), year, pick(55, ["!", "x", "#", "!x"]), F.lit("7!")), rest, 1),
+        (F.concat(pick(1, plain), F.lit(" "), name, sign), F.concat(pick(56, WORDS + PLAIN_VALUES), F.pmod("id", F.lit(97)).cast("string"), pick(57, WORDS + PLAIN_VALUES), pick(67, ["", "4all", "9"])), rest, 1),
+        (F.concat(pick(1, plain), F.lit(" "), name, sign), F.concat(F.initcap(F.substring(letters, 1, 6)), F.substring(digits(68, 24), 1, 10), pick(69, ["!", "#", "@", "$", "%"]), F.substring(letters, 9, 4)), rest, 1),
+        (F.concat(pick(1, plain), F.lit(" "), name, sign), F.concat_ws(".", pick(58, PLAIN_VALUES), pick(59, PLAIN_VALUES), pick(60, PLAIN_VALUES), F.pmod("id", F.lit(10)).cast("string")), rest, 1),
+        (F.concat(pick(1, plain), F.lit(" "), name, pick(61, [": ", " = ", ": \"", ":\n"])), plain_value, F.concat(F.lit(" "), pick(2, plain)), 0),
+        (F.concat(pick(1, plain), F.lit(" "), name, pick(70, [": ", " = ", ": \"", ":\n"])), F.initcap(plain_value), F.concat(F.lit(" "), pick(2, plain)), 0),
+        (F.concat(pick(1, plain), F.lit(" "), name, pick(62, [" = ", "=", ": "])), code, pick(63, ["[\"X\"]", "()", " ", ")"]), 0),
+        (F.concat(pick(1, plain), F.lit(" "), name, pick(64, [": ", "=", " = \""])), F.concat(F.lit("https://www."), pick(65, WORDS), F.lit(".org/"), pick(66, WORDS)), F.concat(F.lit(" "), pick(2, plain)), 0),
+    ]
     which = F.pmod("id", F.lit(len(kinds)))
     return (spark.range(0, n, 1, 1).select(F.element_at(F.array(*(F.struct(b.alias("before"), c.alias("candidate"), a.alias("after"), F.lit(y).alias("label")) for b, c, a, y in kinds)), (which + 1).cast("int")).alias("x")).select("x.*"))
 

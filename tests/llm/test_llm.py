@@ -238,6 +238,16 @@ def test_secret_accuracy(spark):
     assert got.agg(F.avg((F.col("label") == F.col("p")).cast("int"))).first()[0] > 0.95
 
 
+def test_secret_assignments(spark):
+    cases = [('password = "Winter2024!x"', "Winter2024!x"), ('"password": "S3cr3t!pass"', "S3cr3t!pass"), ("password: hunter2hunter", "hunter2hunter"), ("pwd=Summer2023!", "Summer2023!"), ("access_key=Ab1Cd2Ef3Gh4", "Ab1Cd2Ef3Gh4"),
+             ('secret = "correct.horse.battery.staple.9"', "correct.horse.battery.staple.9"), ("password=Abcdef1234567890!tail", "Abcdef1234567890!tail"), ('token = "Ab,cd;ef12!x"', "Ab,cd;ef12!x")]
+    d = spark.createDataFrame([(k, f"so the {t} is") for k, (t, _) in enumerate(cases)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.match) for r in secrets.scan(d).where("is_secret").collect()) == [(k, m) for k, (_, m) in enumerate(cases)]
+    assert {r.doc_id: r.text for r in secrets.redact(d).collect()} == {k: f"so the {t.replace(m, '[SECRET]')} is" for k, (t, m) in enumerate(cases)}
+    plain = spark.createDataFrame([(k, t) for k, t in enumerate(["your password: required here", "Secret: Wonderful things", "token: available now"])], "doc_id long, text string")
+    assert secrets.scan(plain).where("is_secret").count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
