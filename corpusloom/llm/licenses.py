@@ -12,6 +12,8 @@ ignored.
 """
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .spans import match_spans
@@ -74,7 +76,8 @@ cc-by-nc-nd|cc|cc by nc nd|2.0 2.5 3.0 4.0
 cc-by-sa|cc|cc by sa|2.0 2.5 3.0 4.0
 cc-by-nd|cc|cc by nd|2.0 2.5 3.0 4.0
 cc-by-nc|cc|cc by nc|2.0 2.5 3.0 4.0
-mit|mit|(the )?(mit|expat) licen[cs]e|
+mit|mit|(the )?mit licen[cs]e|
+mit|expat|(the )?expat licen[cs]e|
 bsd-4-clause|bsd|(bsd 4 clause|original bsd)( licen[cs]e)?|
 bsd-3-clause|bsd|(bsd 3 clause|(new|modified|revised) bsd)( licen[cs]e)?|
 bsd-2-clause|bsd|(bsd 2 clause|(simplified|free) bsd)( licen[cs]e)?|
@@ -146,8 +149,8 @@ def base_regex(phrase: str | None = None) -> str:
 def detections(text: Column) -> Column:
     """array<struct<start, end, label, weight>> of the places of the method's rules in a lower-cased
     text that stay after suppression."""
-    table = F.array(*(F.struct(F.lit(i).alias("priority"), F.lit(k).alias("keyword"), F.lit(r).alias("regex"), F.lit(n).alias("label"), F.lit(w).alias("weight")) for i, (k, r, n, w) in enumerate(rules())))
-    tried = F.filter(table, lambda r: F.contains(text, r["keyword"]))
+    table = F.array(*(F.struct(F.lit(i).alias("priority"), F.array(*map(F.lit, k.split())).alias("keywords"), F.lit(r).alias("regex"), F.lit(n).alias("label"), F.lit(w).alias("weight")) for i, (k, r, n, w) in enumerate(rules())))
+    tried = F.filter(table, lambda r: F.forall(r["keywords"], lambda k: F.contains(text, k)))
     places = F.array_sort(F.flatten(F.transform(tried, lambda r: F.transform(match_spans(text, r["regex"]), lambda m: F.struct(
         m["start"].alias("start"), (-m["end"]).alias("minus_end"), r["priority"].alias("priority"), r["label"].alias("label"), r["weight"].alias("weight"))))))
     kind = "array<struct<start:int,end:int,label:string,weight:double>>"
@@ -159,9 +162,27 @@ def detections(text: Column) -> Column:
         lambda s: s["out"])
 
 
-def gates() -> list[str]:
-    """Literals one of which is in every text that some rule but those on ``cc`` fits."""
-    return list(dict.fromkeys("licen" if "licen" in r else k for k, r, *_ in rules() if k != "cc"))
+def gates() -> list[tuple[str, ...]]:
+    """Sets of literals; every text that some rule but those on ``cc`` fits holds all of one set.
+    ``licen`` serves the rules that hold it outside optional and alternative parts."""
+    def fixed(regex: str) -> str:
+        regex = regex.removeprefix(r"\b(?:")
+        while (less := re.sub(r"\([^()]*\)\??", "", regex)) != regex:
+            regex = less
+        return regex
+
+    return list(dict.fromkeys(("licen",) if "licen" in fixed(r) else tuple(k.split()) for k, r, *_ in rules() if k != "cc"))
+
+
+def gated(text: Column) -> Column:
+    """Whether some rule may fit the lower-cased text."""
+    gate = F.contains(text, F.lit("cc")) & text.rlike(r"\bcc[^a-z0-9]{1,8}by")
+    for words in reversed(gates()):
+        some = F.contains(text, F.lit(words[0]))
+        for w in words[1:]:
+            some = some & F.contains(text, F.lit(w))
+        gate = some | gate
+    return gate
 
 
 def scan(docs: DataFrame, *keep: str) -> DataFrame:
@@ -172,9 +193,7 @@ def scan(docs: DataFrame, *keep: str) -> DataFrame:
     d = docs.select(*(F.col(k) for k in dict.fromkeys(keep)), text.alias("__text"))
     d = d.withColumn("__base", F.col("__text").rlike(base_regex()))
     d = d.withColumn("__lower", F.lower("__text"))
-    gate = F.col("__base")  # the rules on cc fit no text without the words "cc by"
-    for k in gates():
-        gate = gate | F.contains(F.col("__lower"), F.lit(k))
+    gate = F.col("__base") | gated(F.col("__lower"))
     parts = F.split("__text", base_regex(), -1)
     last_words = words(F.element_at(F.regexp_extract_all("__text", F.lit(base_regex()), F.lit(0)), -1))
     d = d.withColumns({

@@ -221,6 +221,44 @@ def test_license_containment(spark):
     assert {r.doc_id: r.labels for r in licenses.license_report(d).collect()} == {1: "bsd-2-clause", 2: "unicode"}
 
 
+def license_samples(regex):
+    """Texts that the rule fits: each optional part and each gap at its longest, or else left out; words apart by a line break."""
+    from re import _parser as parser
+
+    def walk(items, most, other):
+        out = ""
+        for op, arg in items:
+            op = str(op)
+            if op == "LITERAL":
+                out += chr(arg)
+            elif op == "IN":
+                out += "\n" if str(arg[0][0]) == "NEGATE" or (str(arg[0][0]) == "CATEGORY" and "SPACE" in str(arg[0][1]) and "NOT" not in str(arg[0][1])) else "x" if str(arg[0][0]) == "CATEGORY" else chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])
+            elif op == "MAX_REPEAT":
+                out += walk(arg[2], most, other) * (max(1, arg[0]) if most else arg[0])
+            elif op == "SUBPATTERN":
+                out += walk(arg[3], most, other)
+            elif op == "BRANCH":
+                out += walk(arg[1][-1 if other else 0], most, other)
+        return out
+
+    return {walk(parser.parse(regex), most, other) for most in (False, True) for other in (False, True)}
+
+
+def test_license_gaps(spark):
+    samples = [(k, label, s) for k, r, label, _ in licenses.rules() for s in license_samples(r) if re.search(r, s)]
+    assert all(w in s for k, _, s in samples for w in k.split())
+    rows = [(label, s) for _, label, s in samples]
+    assert {label for label, _ in rows} == {label for *_, label, _ in licenses.rules()}
+    texts = spark.createDataFrame([(k, f"x ;; {s.upper()} ;; y") for k, (_, s) in enumerate(rows)], "doc_id long, text string").repartition(4)
+    fit = {k: {label for _, r, label, _ in licenses.rules() if re.search(r, f"x ;; {s.upper()} ;; y".lower())} for k, (_, s) in enumerate(rows)}
+    for r in texts.select("doc_id", F.lower("text").alias("t")).select("doc_id", licenses.gated(F.col("t")).alias("g"), licenses.detections(F.col("t")).alias("f")).collect():
+        assert r.g and {x.label for x in r.f} <= fit[r.doc_id] and r.f, rows[r.doc_id]
+    lines = {1: ("GNU General\nPublic License version 3", "gpl,gpl-3"), 2: ("Creative\nCommons Attribution 4.0", "cc-by-4.0"), 3: ("the Expat  License", "mit"), 4: ("Unicode Terms\nof Use", "unicode"), 5: ("BSD 3-Clause", "bsd-3-clause"),
+             6: ("Open Data\n * Commons Database License", "odbl"), 7: ("Redistribution\nand use in source and binary forms", "bsd"), 8: ("CC\u2013BY\u2013SA 4.0", "cc-by-sa-4.0")}
+    got = {r.doc_id: r.labels for r in licenses.license_report(spark.createDataFrame([(k, t) for k, (t, _) in lines.items()], "doc_id long, text string")).collect()}
+    assert got == {k: w for k, (_, w) in lines.items()}
+
+
 def test_secrets(spark, odd, empty):
     r = secrets.scan(odd).where("is_secret").collect()
     assert [(x.doc_id, x.match) for x in r] == [(8, "0641917ea4e9feb9cda83477b57ac2654884f485")]
