@@ -121,8 +121,7 @@ def rules() -> list[tuple[str, str, str, float]]:
         for v in versions.split():
             number = v.replace(".", r"\.").removesuffix(r"\.0") + (r"(?:\.0)?" if v.endswith(".0") or "." not in v else "")
             versioned.append((keyword, rf"{body}[^a-z0-9]{{0,4}}(?:international[^a-z0-9]{{1,3}})?(?:version|v\.?|ver\.?)?[^a-z0-9]{{0,3}}{number}(?![0-9.]*[0-9])", f"{label}-{v}", 0.95))
-            spdx = f"{label}-{v}".replace(".", r"\.")
-            tagged.append(("spdx", rf"\bspdx-license-identifier:\s{{0,4}}{spdx}(?![0-9a-z.]*[0-9a-z])", f"{label}-{v}", 1.0))
+            tagged.append(("spdx", rf"\bspdx-license-identifier:\s{{0,4}}{label}-{number}(?![0-9a-z.]*[0-9a-z])", f"{label}-{v}", 1.0))
             if label.startswith("cc-by"):
                 linked.append(("creativecommons.org", rf"creativecommons\.org/licenses/{label[3:]}/{number}", f"{label}-{v}", 1.0))
             elif label in ("gpl", "lgpl", "agpl", "gfdl"):

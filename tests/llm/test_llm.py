@@ -259,6 +259,12 @@ def test_license_gaps(spark):
     assert got == {k: w for k, (_, w) in lines.items()}
 
 
+def test_license_spdx(spark):
+    tags = {"GPL-2.0-only": "gpl-2", "GPL-3.0-or-later": "gpl-3", "AGPL-3.0": "agpl-3", "LGPL-2.1-only": "lgpl-2.1", "LGPL-2.0": "lgpl-2", "GPL-2": "gpl-2", "Apache-2.0": "apache-2.0", "MIT": "mit", "GPL-2.07": ""}
+    d = spark.createDataFrame([(k, f"# SPDX-License-Identifier: {t}\n") for k, t in enumerate(tags)], "doc_id long, text string")
+    assert [r.labels for r in licenses.license_report(d).orderBy("doc_id").collect()] == list(tags.values())
+
+
 def test_secrets(spark, odd, empty):
     r = secrets.scan(odd).where("is_secret").collect()
     assert [(x.doc_id, x.match) for x in r] == [(8, "0641917ea4e9feb9cda83477b57ac2654884f485")]
