@@ -5,7 +5,11 @@ One pass turns each text into integer counts. Every ratio goes into a mergeable
 result does not depend on merge order, and a quantile is off by 1/32 at most. Thresholds are outer
 fences read from the sketches (upper quartile + 3 interquartile ranges + a slack), taken from the
 group, or, where the group has fewer than ``min_group`` rows, from its language, then from all
-rows. They are joined back and applied. Clean text lies inside the fences of its own group.
+rows. No ceiling is above the bound of its language: the median of the groups' ceilings plus seven
+median deviations, or the slack if that is more (the same fence, in measures that half of the groups cannot shift), so a source
+that is mostly junk cannot vouch for itself. A language with fewer than ``MIN_SOURCES`` groups takes
+the bound of all groups. They are joined back and applied. A corpus of which half the groups are junk
+has no such bound to go by.
 
 Defined cases: null text counts as empty (no words: base_failed); null lang or source is a group
 of its own; repeated rows each give a row; an empty table gives an empty result; extra columns are
@@ -26,7 +30,7 @@ METRICS = {
     "upper": ("n_upper", "word_chars", 150),
     "shout": ("n_shout", "word_chars", 50),
 }
-MIN_WORDS, MAX_REPEAT_PERCENT, MIN_GROUP, FENCE = 50, 50, 40, 3
+MIN_WORDS, MAX_REPEAT_PERCENT, MIN_GROUP, FENCE, MIN_SOURCES = 50, 50, 40, 3, 3
 _SPACES = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
 
@@ -130,13 +134,29 @@ def quantiles(sketch: DataFrame) -> DataFrame:
     return groups.select("level", "lang", "source", "metric", "total", at(1).alias("q1"), at(3).alias("q3"))
 
 
+def bounds(groups: DataFrame, *keys: str) -> DataFrame:
+    """(keys, groups, __bound_<metric>): per key the median of the groups' ceilings and, beyond it, the
+    outer fence in median deviations (2 * FENCE + 1 of them, as for a symmetric spread), at least the
+    metric's slack."""
+    mid = groups.groupBy(*keys).agg(F.count("*").alias("groups"), *(F.median(f"__max_{m}").alias(f"__mid_{m}") for m in METRICS)).alias("m")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"g.{k}").eqNullSafe(F.col(f"m.{k}"))
+    off = groups.alias("g").join(mid, same).select(*(F.col(f"g.{k}").alias(k) for k in keys), "groups", *(F.col(f"__mid_{m}") for m in METRICS), *(F.abs(F.col(f"__max_{m}") - F.col(f"__mid_{m}")).alias(f"__off_{m}") for m in METRICS))
+    return off.groupBy(*keys).agg(F.max("groups").alias("groups"), *(F.floor(F.max(f"__mid_{m}") + F.greatest((2 * FENCE + 1) * F.median(f"__off_{m}"), F.lit(METRICS[m][2]))).alias(f"__bound_{m}") for m in METRICS))
+
+
 def thresholds(counts: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """One row per (lang, source) that occurs, with a ceiling for each metric."""
     q = quantiles(sketches(counts)).withColumn("top", F.col("q3") + FENCE * (F.col("q3") - F.col("q1")))
-    tops = q.groupBy("level", "lang", "source").agg(F.max("total").alias("total"), *(F.max(F.when(F.col("metric") == m, F.col("top") + METRICS[m][2])).alias(f"__max_{m}") for m in METRICS))
+    tops = materialize(q.groupBy("level", "lang", "source").agg(F.max("total").alias("total"), *(F.max(F.when(F.col("metric") == m, F.col("top") + METRICS[m][2])).alias(f"__max_{m}") for m in METRICS)), "fences")
     own, lang, every = (tops.where(F.col("level") == k).alias(f"l{k}") for k in range(3))
-    j = (own.join(lang, F.col("l0.lang").eqNullSafe(F.col("l1.lang")), "left").join(every, F.col("l2.level") == 2, "left"))
-    pick = lambda m: F.when(F.col("l0.total") >= min_group, F.col(f"l0.__max_{m}")).when(F.col("l1.total") >= min_group, F.col(f"l1.__max_{m}")).otherwise(F.col(f"l2.__max_{m}"))
+    large = tops.where((F.col("level") == 0) & (F.col("total") >= min_group))
+    of_lang, of_all = bounds(large, "lang").where(F.col("groups") >= MIN_SOURCES).alias("b1"), bounds(large).alias("b2")
+    j = (own.join(lang, F.col("l0.lang").eqNullSafe(F.col("l1.lang")), "left").join(every, F.col("l2.level") == 2, "left")
+            .join(of_lang, F.col("l0.lang").eqNullSafe(F.col("b1.lang")), "left").join(of_all, F.lit(True), "left"))
+    fence = lambda m: F.when(F.col("l0.total") >= min_group, F.col(f"l0.__max_{m}")).when(F.col("l1.total") >= min_group, F.col(f"l1.__max_{m}")).otherwise(F.col(f"l2.__max_{m}"))
+    pick = lambda m: F.least(fence(m), F.coalesce(F.col(f"b1.__bound_{m}"), F.col(f"b2.__bound_{m}")))
     return j.select(F.col("l0.lang").alias("__t_lang"), F.col("l0.source").alias("__t_source"), *(pick(m).alias(f"__max_{m}") for m in METRICS))
 
 

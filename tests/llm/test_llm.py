@@ -7,7 +7,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from corpusloom.llm import bpe, common, licenses, neardup, packing, quality, queries, secrets, suffixdedup, tokenstore, topk, urlfilter
 
@@ -129,6 +129,22 @@ def test_quality_keeps_clean(spark):
     assert kept[0][0] < 0.05 and kept[1][0] >= 1 - kept[1][1] - 0.02
 
 
+def test_quality_junk_source(spark):
+    # Sources of which 30% and 60% are junk, and one alone in its language.
+    d, l = (common.read(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
+    counts = quality.text_counts(d, "doc_id", "lang", "source").join(l, "doc_id").where(~quality.base_failed()).where("lang = 'en'").withColumn("n", F.row_number().over(Window.partitionBy("quality").orderBy("doc_id")))
+    counts = common.materialize(counts.select("doc_id", "lang", "source", *(x.split()[0] for x in quality.COUNTS.split(", ")), "quality", "n"), "test")
+    junk = counts.where("quality = 0").count()
+    mixed = counts
+    for lang, source, share in (("en", "junk30", 0.3), ("en", "junk60", 0.6), ("xx", "junk60", 0.6)):
+        own = counts.where((F.col("quality") == 0) | (F.col("n") <= int(junk * (1 - share) / share))).withColumns({"lang": F.lit(lang), "source": F.lit(source)})
+        mixed = mixed.unionByName(own)
+    r = quality.judge(common.materialize(mixed, "test")).groupBy("lang", F.when(F.col("source").startswith("junk"), F.col("source")).alias("s"), "quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()
+    assert len(r) == 8
+    for x in r:
+        assert x.k == 0 if x.quality == 0 else x.k >= 0.98, x
+
+
 def test_near_duplicates(spark, odd, empty):
     rows = neardup.near_duplicates(odd, 2, 80).collect()
     got = {(r.doc_id, r.component_id, r.kept) for r in rows}
