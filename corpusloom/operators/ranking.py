@@ -14,3 +14,19 @@ def number_rows(df: DataFrame, keys: list[str], bucket: Column, order: list, nam
     own = Window.partitionBy(*keys, "__b").orderBy(*order)
     return (d.withColumn(name, F.row_number().over(own)).join(first, [*keys, "__b"])
             .withColumn(name, (F.col(name) + F.col("__first")).cast("long")).drop("__b", "__first"))
+
+
+def running_offsets(df: DataFrame, keys: list[str], bucket: Column, order: list, size: Column, name: str = "offset") -> DataFrame:
+    """The sum of ``size`` over the rows before each one per keys, in an order along which ``bucket``
+    never decreases. Sorted and summed as in number_rows; null keys are keys of their own."""
+    d = df.withColumns({"__b": bucket, "__size": size.cast("long")})
+    sums = d.groupBy(*keys, "__b").agg(F.sum("__size").alias("__n"))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    w = before.partitionBy(*keys).orderBy("__b")
+    first = sums.select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col("__b").alias("__k_b"), F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__first"))
+    same = F.col("__b").eqNullSafe(F.col("__k_b"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    own = before.partitionBy(*keys, "__b").orderBy(*order)
+    return (d.withColumn(name, F.coalesce(F.sum("__size").over(own), F.lit(0))).join(first, same)
+            .withColumn(name, F.col(name) + F.col("__first")).drop("__b", "__size", "__k_b", "__first", *(f"__k_{k}" for k in keys)))

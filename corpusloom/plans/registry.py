@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import stats as S, text as X
-from ..operators import sampling, segment, series, summary, tokens
+from ..operators import ranking, sampling, segment, series, summary, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -76,6 +76,16 @@ def s9(spark, d):
     return tokens.blocks(t, "doc_id").select("doc_id", "block", F.array_join("tokens", " ").alias("tokens"))
 
 
+@query("s9_file_blocks", f"""WITH t AS (SELECT source, token, row_number() OVER (PARTITION BY source ORDER BY doc_id, p) - 1 AS pos
+  FROM (SELECT source, doc_id, unnest(range(len(w))) AS p, unnest(w) AS token FROM (SELECT source, doc_id, {_WORDS('text')} AS w FROM documents)))
+SELECT source, (pos // 128)::BIGINT AS block, array_to_string(list(token ORDER BY pos), ' ') AS tokens FROM t GROUP BY 1, 2 HAVING count(*) = 128""")
+def s9_files(spark, d):
+    w = docs(spark, d).select("source", "doc_id", X.words(F.col("text")).alias("words"))
+    w = ranking.running_offsets(w, ["source"], F.floor(F.col("doc_id") / 4096), ["doc_id"], F.size("words"))
+    t = w.select("source", "offset", F.posexplode("words").alias("at", "token")).select("source", (F.col("offset") + F.col("at")).alias("pos"), "token")
+    return tokens.blocks(t, "source").select("source", "block", F.array_join("tokens", " ").alias("tokens"))
+
+
 _PICK = lambda seed, xs: f"(list_value({', '.join(repr(x) for x in xs)}))[{_H('k || ' + repr('/' + seed))} % {len(xs)} + 1]"
 _CH = lambda seed, n: f"({_H('k || ' + repr('/' + seed))} % {n})"
 

@@ -91,6 +91,20 @@ def test_number_rows(spark):
     assert got.isEmpty()
 
 
+def test_file_blocks(spark):
+    # A source loses one ragged tail; short documents fill blocks together.
+    d = registry.docs(spark, SF)
+    n = {r.source: r.n for r in d.groupBy("source").agg(F.sum(F.size(X.words(F.col("text")))).alias("n")).collect()}
+    got = {r.source: r.n for r in registry.QUERIES["s9_file_blocks"](spark, SF).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert got == {s: k // tokens.WIDTH for s, k in n.items() if k >= tokens.WIDTH}
+
+
+def test_running_offsets(spark):
+    df = spark.range(1000).withColumn("k", F.when(F.col("id") % 3 > 0, F.col("id") % 3))
+    got = {r.id: r.offset for r in ranking.running_offsets(df, ["k"], F.floor(F.col("id") / 50), ["id"], F.col("id") % 7).collect()}
+    assert got == {i: sum(j % 7 for j in range(i % 3, i, 3)) for i in range(1000)}
+
+
 def test_framing(spark):
     df = spark.createDataFrame([([2, 3, 4],), ([2],), ([],)], "ids array<int>")
     assert [r[0] for r in df.select(tokens.framed(F.col("ids"), F.size("ids"), 2)).collect()] == [[3, 4], [2, 0], [0, 0]]
