@@ -203,6 +203,11 @@ def v3(spark, d):
     return tokens.frequencies(docs(spark, d).orderBy("source", "doc_id").limit(500))
 
 
+@query("v3_reference_cap", f"SELECT token, count(*) AS freq FROM (SELECT unnest({_CHARS('text')}) AS token FROM (SELECT * FROM documents ORDER BY source, doc_id LIMIT 100000)) GROUP BY token")
+def v3_reference(spark, d):
+    return tokens.frequencies(docs(spark, d).orderBy("source", "doc_id").limit(100_000))
+
+
 @query("v4_vocabulary", f"WITH {_VOCAB} SELECT token, id FROM vocab UNION ALL SELECT '<PAD>', 0 UNION ALL SELECT '<UNK>', 1")
 def v4(spark, d):
     return tokens.vocabulary(docs(spark, d))
@@ -478,6 +483,11 @@ def o5(spark, d):
     return docs(spark, d).select("source", "doc_id").orderBy("source", "doc_id").limit(200)
 
 
+@query("o5_reference_cap", "SELECT source, doc_id FROM documents ORDER BY source, doc_id LIMIT 100000")
+def o5_reference(spark, d):
+    return docs(spark, d).select("source", "doc_id").orderBy("source", "doc_id").limit(100_000)
+
+
 @query("o6_early_stop", _SERIES + "SELECT dataset, max(step) AS last_step, count(*) AS n FROM s WHERE step <= 2000 GROUP BY dataset")
 def o6(spark, d):
     return _series(spark, d).where("step <= 2000").groupBy("dataset").agg(F.max("step").alias("last_step"), F.count("*").alias("n"))

@@ -105,6 +105,12 @@ def test_running_offsets(spark):
     assert got == {i: sum(j % 7 for j in range(i % 3, i, 3)) for i in range(1000)}
 
 
+def test_reference_caps(spark, monkeypatch):
+    monkeypatch.setattr(registry, "docs", lambda s, d: s.range(100_003).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("a").alias("text")))
+    assert registry.QUERIES["v3_reference_cap"](spark, "").first().freq == 100_000
+    assert registry.QUERIES["o5_reference_cap"](spark, "").count() == 100_000
+
+
 def test_framing(spark):
     df = spark.createDataFrame([([2, 3, 4],), ([2],), ([],)], "ids array<int>")
     assert [r[0] for r in df.select(tokens.framed(F.col("ids"), F.size("ids"), 2)).collect()] == [[3, 4], [2, 0], [0, 0]]
