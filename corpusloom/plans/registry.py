@@ -193,6 +193,12 @@ def v1(spark, d):
     return docs(spark, d).select("doc_id", F.size(c).alias("n_chars"), F.array_join(F.slice(c, 1, 20), "|").alias("head"))
 
 
+@query("v1_character_digest", f"SELECT doc_id, len({_CHARS('text')})::INTEGER AS n_chars, md5(array_to_string({_CHARS('text')}, '|')) AS chars_md5 FROM documents")
+def v1_digest(spark, d):
+    c = tokens.characters(F.col("text"))
+    return docs(spark, d).select("doc_id", F.size(c).alias("n_chars"), F.md5(F.array_join(c, "|")).alias("chars_md5"))
+
+
 @query("v2_frequencies", f"SELECT token, count(*) AS freq FROM (SELECT unnest({_CHARS('text')}) AS token FROM documents) GROUP BY token")
 def v2(spark, d):
     return tokens.frequencies(docs(spark, d))

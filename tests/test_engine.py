@@ -111,6 +111,12 @@ def test_reference_caps(spark, monkeypatch):
     assert registry.QUERIES["o5_reference_cap"](spark, "").count() == 100_000
 
 
+def test_character_digest(spark, monkeypatch):
+    # A change after the twentieth token shows.
+    monkeypatch.setattr(registry, "docs", lambda s, d: s.createDataFrame([(1, "a" * 30), (2, "a" * 29 + "b")], "doc_id long, text string"))
+    assert len({r.chars_md5 for r in registry.QUERIES["v1_character_digest"](spark, "").collect()}) == 2
+
+
 def test_framing(spark):
     df = spark.createDataFrame([([2, 3, 4],), ([2],), ([],)], "ids array<int>")
     assert [r[0] for r in df.select(tokens.framed(F.col("ids"), F.size("ids"), 2)).collect()] == [[3, 4], [2, 0], [0, 0]]
