@@ -18,10 +18,7 @@ import json
 from pyspark.sql import DataFrame
 
 from .common import tokenizer_path
-from .encoder import UnitCache, slices, worker_cache
-
-#: The split rule of byte-level BPE vocabularies of this kind (fixed value).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+from .encoder import PATTERN, PieceCache, slices, worker_cache
 
 
 def byte_letters() -> dict[str, int]:
@@ -113,31 +110,36 @@ class Bpe:
             before = word
         return out
 
-    def encode_units(self, units: list[str]) -> list[list[int]]:
-        split = []
-        for u in units:
-            pieces: list = []
-            for k, part in enumerate(self.cut.split(u) if self.cut and any(s in u for s in self.special) else [u]):
-                pieces += [self.special[part]] if k % 2 else [w.encode("utf-8") for w in self.words.findall(part)]
-            split.append(pieces)
-        ids = self.encode_words(list({p for ps in split for p in ps if not isinstance(p, int)}))
-        return [[k for p in ps for k in ([p] if isinstance(p, int) else ids[p])] for ps in split]
+    def encode_text(self, text: str) -> list[int]:
+        """Ids of one text, cut at special tokens and by the split rule."""
+        pieces: list = []
+        for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
+            pieces += [self.special[part]] if k % 2 else [w.encode("utf-8") for w in self.words.findall(part)]
+        ids = self.encode_words(list({p for p in pieces if not isinstance(p, int)}))
+        return [k for p in pieces for k in ([p] if isinstance(p, int) else ids[p])]
 
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-class TrieCache(UnitCache):
-    """Units encoded by the trie walk."""
+class TrieCache(PieceCache):
+    """Pieces encoded by the trie walk."""
 
     def __init__(self, path: str):
         self.bpe = Bpe(path)
-        super().__init__(max(self.bpe.bytes_of) + 1)
+        super().__init__(max(self.bpe.bytes_of) + 1, list(self.bpe.special))
+
+    def encode_alone(self, text: str) -> bytes:
+        import numpy as np
+
+        return np.array(self.bpe.encode_text(text), self.dtype).tobytes()
 
-    def encode_units(self, units: list[str]) -> list[bytes]:
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         import numpy as np
 
-        return [np.array(ids, self.dtype).tobytes() for ids in self.bpe.encode_units(units)]
+        raw = [p.encode("utf-8") for p in pieces]
+        ids = self.bpe.encode_words(raw)
+        return [np.array(ids[r], self.dtype).tobytes() for r in raw]
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -150,10 +152,11 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
         cache = worker_cache(TrieCache, path)
         for b in batches:
-            texts, ids = b.column("text").to_pylist(), b.column("doc_id")
+            texts, doc_ids = b.column("text"), b.column("doc_id")
             for s in slices(texts):
-                got = [np.frombuffer(x, cache.dtype).astype(np.int32) for x in cache.texts(texts[s])]
-                yield pa.RecordBatch.from_arrays([ids[s], pa.array(got, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                ids, ends = cache.encode(texts[s])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([doc_ids[s], lists], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -187,11 +190,11 @@ def round_trip_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         spelt = np.array([cache.bpe.bytes_of.get(k, b"") for k in range(size)], object)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
-            texts, doc_ids = b.column("text").to_pylist(), b.column("doc_id")
+            texts, doc_ids = b.column("text"), b.column("doc_id")
             for s in slices(texts):
                 rows = []
-                for raw in cache.texts(texts[s]):
-                    ids = np.frombuffer(raw, cache.dtype)
+                every, ends = cache.encode(texts[s])
+                for ids in np.split(every, ends[:-1]):
                     text = b"".join(spelt[ids].tolist()).decode("utf-8", "replace")
                     rows.append((len(ids), sha(b"".join(shown[ids].tolist())[:-1]), sha(text.encode("utf-8"))))
                 n, a, d = zip(*rows)

@@ -131,9 +131,9 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
         import xxhash
 
         for b in batches:
-            texts = b.column("text").to_pylist()
+            texts = b.column("text")
             for part in slices(texts):
-                sets = [shingles(t, words) for t in texts[part]]
+                sets = [shingles(t, words) for t in texts[part].to_pylist()]
                 fp = [int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True) for s in sets]
                 ids = b.column("doc_id")[part]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(fp, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "fp1", "n", "set"])

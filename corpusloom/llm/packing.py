@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import materialize, splitmix, tokenizer_path
 from .encoder import LibraryCache, id_type, slices, worker_cache
 
-DIMS, BITS, HASHED = 4, 10, 1024
+DIMS, BITS, HASHED = 4, 10, 256
 
 
 def projection(seed: int = 7):
@@ -42,14 +42,20 @@ def token_hashes(size: int):
     return (h & np.uint64(HASHED - 1)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0)
 
 
-def cells(ids_list, matrix, hashes):
-    """Grid cells (n x DIMS of 0..2**BITS-1) of documents' hashed token vectors."""
+def cells(ids, ends, matrix, hashes):
+    """Grid cells (n x DIMS of 0..2**BITS-1) of the hashed token vectors of documents, laid end to
+    end in ids. Counts are damped by a logarithm."""
     import numpy as np
 
     slot, sign = hashes
-    v = np.array([np.bincount(slot[ids], sign[ids], HASHED) for ids in ids_list])
-    v = np.sign(v) * np.log1p(np.abs(v))
-    out = v @ matrix / np.sqrt(np.maximum((v * v).sum(1), 1e-12))[:, None]
+    out, starts, n = np.empty((len(ends), DIMS)), np.append(0, ends[:-1]), np.diff(ends, prepend=0)
+    for k in range(0, len(ends), 512):  # so that the vectors at hand stay small
+        part = ids[starts[k] : ends[min(k + 512, len(ends)) - 1]]
+        m = len(ends[k : k + 512])
+        at = np.repeat(np.arange(m) * HASHED, n[k : k + 512])
+        v = np.bincount(at + slot[part], sign[part], m * HASHED).reshape(m, HASHED)
+        v = np.sign(v) * np.log1p(np.abs(v))
+        out[k : k + m] = v @ matrix / np.sqrt(np.maximum((v * v).sum(1), 1e-12))[:, None]
     # Each coordinate is about standard normal whatever the data: the logistic curve spreads it.
     return np.clip(((1 << BITS) / (1 + np.exp(-1.7 * out))).astype(np.int64), 0, (1 << BITS) - 1)
 
@@ -95,16 +101,18 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         from pyspark import TaskContext
 
         cache, matrix = worker_cache(LibraryCache, path), projection()
-        hashes = token_hashes(len(cache.starts))
+        hashes = token_hashes(cache.size)
         row = TaskContext.get().partitionId() << 33
-        tail = np.array([end_id], cache.dtype).tobytes()
         for b in batches:
-            texts, doc_ids = b.column("text").to_pylist(), b.column("doc_id")
+            texts, doc_ids = b.column("text"), b.column("doc_id")
             for s in slices(texts):
-                raw = [x + tail for x in cache.texts(texts[s])]
-                ids = [np.frombuffer(x, cache.dtype) for x in raw]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(ids))), doc_ids[s], pa.array(hilbert(cells(ids, matrix, hashes))), pa.array([len(x) for x in ids], pa.int64()), pa.array(raw, pa.binary())], names=["row", "doc_id", "curve", "n", "ids"])
-                row += len(ids)
+                ids, ends = cache.encode(texts[s])
+                ids, n = np.insert(ids, ends, end_id), np.diff(ends, prepend=0) + 1
+                ends = np.cumsum(n)
+                at = (np.append(0, ends) * ids.itemsize).astype(np.int32)
+                raw = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(at), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(n))), doc_ids[s], pa.array(hilbert(cells(ids, ends, matrix, hashes))), pa.array(n), raw], names=["row", "doc_id", "curve", "n", "ids"])
+                row += len(n)
 
     return docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, curve long, n long, ids binary")
 

@@ -35,13 +35,10 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, end_id: int
 
         cache, part, at, place = worker_cache(LibraryCache, path), TaskContext.get().partitionId(), 0, 0
         for b in batches:
-            texts, doc_ids = b.column("text").to_pylist(), b.column("doc_id")
+            texts, doc_ids = b.column("text"), b.column("doc_id")
             for s in slices(texts):
-                raw = cache.texts(texts[s])
-                width = np.dtype(cache.dtype).itemsize
-                n = np.array([len(x) // width + 1 for x in raw], np.int64)
-                tail = np.array([end_id], cache.dtype).tobytes()
-                ids = np.frombuffer(b"".join(x for r in raw for x in (r, tail)), cache.dtype).astype(np.int32)
+                ids, ends = cache.encode(texts[s])
+                ids, n = np.insert(ids.astype(np.int32), ends, end_id), np.diff(ends, prepend=0) + 1
                 ends = np.cumsum(n)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
                 k = len(n)
