@@ -1,11 +1,10 @@
 """Shared helpers: the shared folder, written intermediate tables, text normalisation."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Words of the contracts: runs of anything but space and \\t..\\r (what bytes.split() splits on).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,11 +23,11 @@ def made(into: list[str]):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder named in spark.checkpoint.dir, which driver and executors share. There is no
+    stand-in: a folder of one machine would lose what the others write."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return root.rstrip("/")
 
 
@@ -62,6 +61,23 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: A key is hot if it holds over one HOT-th of the rows, so there are HOT of them at most; its rows
+#: are dealt to SPLITS shares.
+HOT, SPLITS = 1000, 64
+
+
+def skew_join(rows: DataFrame, one: DataFrame, keys: list[str], sizes: DataFrame, total: int, by: Column, how: str = "inner") -> DataFrame:
+    """rows joined with ``one``, which has a row per key at most. ``sizes`` has (keys, k): how many of
+    the ``total`` rows hold a key. Hot keys, HOT at most, are broadcast; their rows are dealt out by a
+    hash of ``by``, and their row of ``one`` goes to every share."""
+    hot = F.broadcast(sizes.where(F.col("k") * HOT > total).select(*keys, F.lit(True).alias("__hot")))
+    dealt = F.when(F.col("__hot"), F.pmod(F.xxhash64(by), F.lit(SPLITS))).otherwise(0).cast("int")
+    every = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SPLITS - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.join(hot, keys, "left").withColumn("__share", dealt).drop("__hot")
+    right = one.join(hot, keys, "left").withColumn("__share", F.explode(every)).drop("__hot")
+    return left.join(right, [*keys, "__share"], how).drop("__share")
+
+
 _state: dict = {}
 
 

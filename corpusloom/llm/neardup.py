@@ -1,37 +1,42 @@
 """Near-duplicates by one-permutation MinHash with optimal densification, banded buckets and
 star-shaped candidate edges, confirmed on full shingle sets.
 
-1. A text's distinct word shingles are hashed once; the sorted hashes fall into BINS bins, and the
-   least in each is the sketch. An empty bin borrows from the first full bin in its own fixed
-   random order. ROWS bins make a band, a band's value a bucket.
-2. Texts with equal sets are one class from here on, so exact copies cost one row each.
+1. Rows are numbered and written. A text's distinct word shingles are hashed once; the sorted hashes
+   fall into BINS bins, and the least in each is the sketch. An empty bin borrows from the first full
+   bin in its own fixed random order. ROWS bins make a band, a band's value a bucket.
+2. Texts with equal sets are one class from here on, named by the number of its first row (that of
+   the smallest doc_id), so exact copies cost one row each.
 3. Buckets with one class go. Each other bucket gives stars, not pairs: edges from a centre (its
    most typical class, then its first) to the other members. Edges are confirmed on full sets.
-4. Two members of a bucket may be linked though neither is linked to a centre. So buckets that still
-   hold several components are followed up without a cap: each class outside its family's largest
-   component meets the family's other components, where sizes and shared shingles allow a link.
-   Shingles that occur in one class only bound what that class can share, and counts of the others
-   in PARTS parts bound what two classes can share.
+4. Two members of a bucket may be linked though neither is linked to a centre. So the classes of
+   buckets that still hold several components are followed up without a cap, by prefix filtering:
+   ordered from the rarest shingle on, two sets of similarity t share one of their first
+   n - ceil(t n) + 1. Classes of different components meet by such a shingle, where sizes and shared
+   shingles allow a link; counts in PARTS parts bound what two classes can share.
+
+Rows of a hot group (copies of one text, members of a bucket, a centre's edges) are dealt to several
+tasks wherever they are joined (`skew_join`).
 
 At similarity 0.8 a pair shares no band with probability (1 - 0.8**4)**32, about 5e-8.
 
-Defined cases: null or wordless texts have an empty set and are linked with nothing; rows with the
-same doc_id are one document as far as links go; rows with a null doc_id are linked with nothing,
-have a null component and are kept; an empty table gives an empty result; extra columns are
-ignored by near_duplicates and passed on by deduplicate.
+Defined cases: null or wordless texts have an empty set and are linked with nothing; rows are told
+apart by their number, so rows that share a doc_id are linked by their texts alone; rows with a null
+doc_id are linked with nothing, have a null component and are kept; an empty table gives an empty
+result; extra columns, whatever their names, are ignored by near_duplicates and passed on by
+deduplicate; very long texts are one set in one task.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import materialize, splitmix, trim, worker_state
+from .common import HOT, SPLITS, materialize, skew_join, splitmix, trim, worker_state
 from .components import components
 from .encoder import slices
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
-#: Parts of a set in which shared shingles are bounded; splits of a hot family in the follow-up.
-PARTS, SALTS = 64, 8
+#: Parts of a set in which shared shingles are bounded.
+PARTS = 64
 #: Word hashes kept from text to text in a worker.
 KNOWN_WORDS = 200_000
 
@@ -95,19 +100,25 @@ def bands(sketches):
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, fp1, fp2, bands) of every row; fp1, fp2 digest the set and are null without one."""
+    """(row, n, fp1, fp2, bands, doc_id, text and the other columns as c0, c1, ...) of every row; fp1,
+    fp2 digest the set and are null without one. ``row`` holds once the result is written."""
+    fields = {f.name: f for f in docs.schema.fields}
+    others = [n for n in docs.columns if n not in ("doc_id", "text")]
+    kind = T.StructType([*(T.StructField(n, T.LongType()) for n in ("row", "n", "fp1", "fp2")), T.StructField("bands", T.ArrayType(T.LongType())), *(T.StructField(n, fields[n].dataType) for n in ("doc_id", "text")), *(T.StructField(f"c{k}", fields[n].dataType) for k, n in enumerate(others))])
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
         import xxhash
+        from pyspark import TaskContext
 
-        order = borrow_order()
+        order, row = borrow_order(), TaskContext.get().partitionId() << 33
         for b in batches:
-            ids, texts = b.column("doc_id"), b.column("text").to_pylist()
-            for at in range(0, len(texts), 512):
-                part = texts[at : at + 512]
-                sizes, prints, rows = [], [], np.zeros((len(part), BINS), np.uint64)
-                for k, t in enumerate(part):
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                texts = part.column("text").to_pylist()
+                sizes, prints, rows = [], [], np.zeros((len(texts), BINS), np.uint64)
+                for k, t in enumerate(texts):
                     s = shingles(t, words)
                     sizes.append(len(s))
                     prints.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
@@ -116,32 +127,28 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 none = np.array([p is None for p in prints])
                 fp = np.frombuffer(b"".join(p or bytes(16) for p in prints), np.int64).reshape(-1, 2)
                 values = bands(rows).astype(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * BANDS), pa.array(values.ravel()))
-                yield pa.RecordBatch.from_arrays([ids[at : at + 512], pa.array(sizes, pa.int64()), pa.array(fp[:, 0], mask=none), pa.array(fp[:, 1], mask=none), lists], names=["doc_id", "n", "fp1", "fp2", "bands"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), pa.array(values.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(texts))), pa.array(sizes, pa.int64()), pa.array(fp[:, 0], mask=none), pa.array(fp[:, 1], mask=none), lists, *part.columns], names=kind.names)
+                row += len(texts)
         trim()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp1 long, fp2 long, bands array<long>")
+    return docs.select("doc_id", "text", *(F.col(f"`{n}`") for n in others)).mapInArrow(run, kind)
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, fp1, n, set) of the classes ids(id, fp1), from the texts of their first documents."""
+def shingle_sets(signed: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(id, n, set) of the classes ids(id), from the texts of their first rows."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        import xxhash
 
         for b in batches:
             texts = b.column("text")
             for part in slices(texts):
                 sets = [shingles(t, words) for t in texts[part].to_pylist()]
-                fp = [int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True) for s in sets]
-                ids = b.column("doc_id")[part]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(fp, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "fp1", "n", "set"])
+                yield pa.RecordBatch.from_arrays([b.column("row")[part], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "n", "set"])
         trim()
 
-    some = docs.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    made = some.mapInArrow(run, "id long, fp1 long, n long, set array<long>")
-    return made.join(ids, ["id", "fp1"], "left_semi").dropDuplicates(["id", "fp1"])
+    return signed.select("row", "text").join(ids.select(F.col("id").alias("row")), "row", "left_semi").mapInArrow(run, "id long, n long, set array<long>")
 
 
 def may_link(percent: int, n1: Column, c1: Column, n2: Column, c2: Column) -> Column:
@@ -151,8 +158,8 @@ def may_link(percent: int, n1: Column, c1: Column, n2: Column, c2: Column) -> Co
 
 
 def shared_counts(sets: DataFrame, percent: int) -> DataFrame:
-    """(id, fp1, n, c, parts) of the classes that can have a link: c shingles are in some other
-    class's set too, parts counts them by the hash's last six bits."""
+    """(id, n, c, parts) of the classes that can have a link: c shingles are in some other class's
+    set too, parts counts them by the hash's last six bits."""
     alone = (sets.select("id", F.explode("set").alias("g")).groupBy("g").agg(F.count("*").alias("k"), F.min("id").alias("id"))
              .where("k = 1").groupBy("id").agg(F.collect_list("g").alias("alone")))
 
@@ -167,10 +174,10 @@ def shared_counts(sets: DataFrame, percent: int) -> DataFrame:
                 s = np.setdiff1d(s, np.asarray(x.values)) if x.is_valid else s
                 counts.append(np.bincount(s & (PARTS - 1), minlength=PARTS).astype(np.int32))
             c = [int(x.sum()) for x in counts]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("fp1"), b.column("n"), pa.array(c, pa.int64()), pa.array(counts, pa.list_(pa.int32()))], names=["id", "fp1", "n", "c", "parts"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n"), pa.array(c, pa.int64()), pa.array(counts, pa.list_(pa.int32()))], names=["id", "n", "c", "parts"])
         trim()
 
-    made = sets.join(alone, "id", "left").select("id", "fp1", "n", "set", "alone").mapInArrow(run, "id long, fp1 long, n long, c long, parts array<int>")
+    made = sets.join(alone, "id", "left").select("id", "n", "set", "alone").mapInArrow(run, "id long, n long, c long, parts array<int>")
     return made.where(100 * F.col("c") >= percent * F.col("n"))
 
 
@@ -181,73 +188,107 @@ def can_share(percent: int, n1: Column, parts1: Column, n2: Column, parts2: Colu
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, afp, b, bfp) whose full sets are similar enough, as (a, b)."""
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("fp1").alias(f"{x}fp"), F.col("n").alias(f"{x}n"), F.col("set").alias(f"{x}set"))
-    j = pairs.join(side("b"), ["b", "bfp"]).join(side("a"), ["a", "afp"])
+    """Those of the written pairs (a, b) whose full sets are similar enough. A centre's pairs may be
+    many: a is the side that is dealt out."""
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"{x}n"), F.col("set").alias(f"{x}set"))
+    sizes = materialize(pairs.groupBy("a").agg(F.count("*").alias("k")), "degrees")
+    total = sizes.agg(F.sum("k")).first()[0] or 0
+    ends = side("a").join(sizes.select("a"), "a", "left_semi")
+    j = skew_join(pairs.join(side("b"), "b"), ends, ["a"], sizes, total, F.col("b"))
     shared = F.size(F.array_intersect("aset", "bset"))
     return j.where(100 * shared >= percent * (F.col("an") + F.col("bn") - shared)).select("a", "b")
 
 
-def links(docs: DataFrame, signed: DataFrame, words: int, percent: int) -> DataFrame:
-    """(id, component) of the classes that have links, by the ids of their first documents."""
-    live = signed.where("doc_id is not null and n > 0")
-    classes = live.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("id"))
-    first = live.join(classes, ["fp1", "fp2"]).where("doc_id = id")
-    bucketed = first.select("id", "fp1", F.explode("bands").alias("bucket"))
-    several = bucketed.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
-    members = materialize(bucketed.join(several, "bucket"), "buckets")
-    sets = materialize(shingle_sets(docs, members.select("id", "fp1").distinct(), words), "sets")
+def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, g): of each set the shingles of its prefix that some other set has too, ordered from the
+    rarest on. Sets of similarity percent / 100 or more share one of them."""
+    rows = sets.select("id", "n", F.explode("set").alias("g"))
+    sizes = materialize(rows.groupBy("g").agg(F.count("*").alias("k")), "frequencies")
+    total = sizes.agg(F.sum("k")).first()[0] or 0
+    counted = skew_join(rows, sizes, ["g"], sizes, total, F.col("id"))
+    prefix = F.slice(F.array_sort(F.collect_list(F.struct("k", "g"))), F.lit(1), (F.first("n") - F.ceil(F.first("n") * percent / 100) + 1).cast("int"))
+    return counted.groupBy("id").agg(prefix.alias("prefix")).select("id", F.explode("prefix").alias("x")).where("x.k > 1").select("id", "x.g")
+
+
+def follow_up(rows: DataFrame, comp: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame | None:
+    """Step 4: further links (a, b) between classes of buckets whose members are in several components."""
+    named = rows.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = materialize(named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k")), "split")
+    total = sizes.agg(F.sum("k")).first()[0] or 0
+    split = sizes.where("lo < hi")
+    open_ = materialize(skew_join(named, split.select("bucket"), ["bucket"], split, total, F.col("id")).select("id", "component").distinct(), "open")
+    if open_.isEmpty():
+        return None
+    rare = rare_shingles(sets.join(open_, "id", "left_semi"), percent)
+    many = open_.groupBy("component").agg(F.count("*").alias("size"))
+    k = materialize(many.groupBy().agg(F.sum("size").alias("n")), "total").first()["n"]
+    there = skew_join(open_, many, ["component"], many.withColumnRenamed("size", "k"), k, F.col("id")).join(nodes, "id")
+    there = materialize(rare.join(there, "id"), "prefixes")
+    held = materialize(there.groupBy("g").agg(F.count("*").alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("g", "k"), "shared")
+    # A pair is met from its smaller component; each share of a hot shingle meets all of its sets.
+    total = held.agg(F.sum("k")).first()[0] or 0
+    hot = F.broadcast(held.where(F.col("k") * HOT > total).select("g", F.lit(True).alias("hot")))
+    there = there.join(held.select("g"), "g", "left_semi").join(hot, "g", "left")
+    p = there.withColumn("share", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SPLITS))).otherwise(0).cast("int")).alias("p")
+    q = there.withColumn("share", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SPLITS - 1))).otherwise(F.array(F.lit(0))))).alias("q")
+    ok = (F.struct("p.size", "p.component") < F.struct("q.size", "q.component")) & may_link(percent, *map(F.col, ("p.n", "p.c", "q.n", "q.c"))) & can_share(percent, *map(F.col, ("p.n", "p.parts", "q.n", "q.parts")))
+    pairs = p.join(q, (F.col("p.g") == F.col("q.g")) & (F.col("p.share") == F.col("q.share")) & ok).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
+    return materialize(confirm(materialize(pairs.distinct(), "pairs"), sets, percent), "links")
+
+
+def links(signed: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(id, component) of the classes that have links."""
+    bucketed = signed.select(F.col("row").alias("id"), "bands").join(classes.select("id"), "id").select("id", F.explode("bands").alias("bucket"))
+    several = materialize(bucketed.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1"), "several")
+    total = several.agg(F.sum("k")).first()[0] or 0
+    met = lambda x, one: skew_join(x, one, ["bucket"], several, total, F.col("id"))
+    members = materialize(met(bucketed, several.select("bucket")), "buckets")
+    sets = materialize(shingle_sets(signed, members.select("id").distinct(), words), "sets")
     nodes = materialize(shared_counts(sets, percent), "nodes")
 
-    rows = members.join(nodes, ["id", "fp1"])
-    end = lambda c, x: [F.col(f"{c}.id").alias(x), F.col(f"{c}.fp1").alias(f"{x}fp"), F.col(f"{c}.n").alias(f"{x}n"), F.col(f"{c}.c").alias(f"{x}c")]
-    me = F.struct("id", "fp1", "n", "c")
+    rows = members.join(nodes.drop("parts"), "id")
+    end = lambda c, x: [F.col(f"{c}.id").alias(x), F.col(f"{c}.n").alias(f"{x}n"), F.col(f"{c}.c").alias(f"{x}c")]
+    me = F.struct("id", "n", "c")
     centres = rows.groupBy("bucket").agg(F.max(F.struct((F.col("c") / F.col("n")).alias("r"), (-F.col("id")).alias("i"), me.alias("x"))).alias("typical"), F.min(me).alias("first"))
-    stars = rows.select("bucket", me.alias("me")).join(centres.select("bucket", F.explode(F.array("typical.x", "first")).alias("centre")), "bucket").where("me.id <> centre.id")
-    stars = stars.select(*end("centre", "a"), *end("me", "b")).where(may_link(percent, *map(F.col, ("an", "ac", "bn", "bc")))).select("a", "afp", "b", "bfp").distinct()
-    found = materialize(confirm(stars, sets, percent), "links")
+    stars = met(rows.select("bucket", "id", me.alias("me")), centres).select("me", F.explode(F.array("typical.x", "first")).alias("centre")).where("me.id <> centre.id")
+    stars = stars.select(*end("centre", "a"), *end("me", "b")).where(may_link(percent, *map(F.col, ("an", "ac", "bn", "bc")))).select("a", "b").distinct()
+    found = materialize(confirm(materialize(stars, "stars"), sets, percent), "links")
     comp = materialize(components(found), "components")
+    more = follow_up(rows, comp, sets, nodes, percent)
+    return comp if more is None or more.isEmpty() else materialize(components(found.unionByName(more)), "components")
 
-    # The follow-up: buckets whose members are still in several components.
-    named = rows.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")).drop("parts")
-    split = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    open_ = materialize(named.join(split, "bucket").select("id", "fp1", "n", "c", "component", "lo").distinct(), "open")
-    if open_.isEmpty():
-        return comp
-    family = materialize(components(open_.select(F.col("lo").alias("a"), F.col("component").alias("b"))).select(F.col("id").alias("component"), F.col("component").alias("family")), "families")
-    there = materialize(open_.drop("lo").distinct().join(family, "component"), "open")
-    size = there.groupBy("family", "component").agg(F.count("*").alias("size"))
-    largest = size.groupBy("family").agg(F.max(F.struct("size", "component"))["component"].alias("largest"))
-    there = there.join(largest, "family").withColumn("main", F.col("component") == F.col("largest"))
-    there = there.join(nodes.select("id", "fp1", "parts"), ["id", "fp1"])
-    a = there.where("not main").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).alias("p")
-    b = there.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS))))).alias("q")
-    ok = (F.col("p.component") != F.col("q.component")) & (F.col("q.main") | (F.col("p.id") < F.col("q.id"))) & may_link(percent, *map(F.col, ("p.n", "p.c", "q.n", "q.c"))) & can_share(percent, *map(F.col, ("p.n", "p.parts", "q.n", "q.parts")))
-    pairs = a.join(b, (F.col("p.family") == F.col("q.family")) & (F.col("p.salt") == F.col("q.salt")) & ok).select(F.col("p.id").alias("a"), F.col("p.fp1").alias("afp"), F.col("q.id").alias("b"), F.col("q.fp1").alias("bfp"))
-    more = materialize(confirm(pairs, sets, percent), "links")
-    if more.isEmpty():
-        return comp
-    return components(found.unionByName(more))
+
+def judged(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The written rows with their signatures, and (row, doc_id, n, best) of those that take part:
+    best is the smallest (doc_id, row) of the row's component."""
+    signed = materialize(signatures(docs, words), "signatures")
+    live = signed.where("doc_id is not null and n > 0").select("row", "doc_id", "n", "fp1", "fp2")
+    classes = live.groupBy("fp1", "fp2").agg(F.min(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("k"))
+    classes = materialize(classes.withColumn("id", F.col("best.row")), "classes")
+    comp = links(signed, classes.select("id"), words, percent)
+    linked = comp.join(classes.select("id", "best"), "id")
+    least = materialize(linked.groupBy("component").agg(F.min("best").alias("best"), F.count("*").alias("k")), "least")
+    total = least.agg(F.sum("k")).first()[0] or 0
+    mine = skew_join(comp, least.drop("k"), ["component"], least, total, F.col("id")).select("id", F.col("best").alias("theirs"))
+    named = classes.join(mine, "id", "left").select("fp1", "fp2", F.coalesce("theirs", "best").alias("best"))
+    total = classes.agg(F.sum("k")).first()[0] or 0
+    return signed, skew_join(live, named, ["fp1", "fp2"], classes.select("fp1", "fp2", "k"), total, F.col("row")).select("row", "doc_id", "n", "best")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row."""
-    signed = materialize(signatures(docs, words), "signatures")
-    comp = links(docs, signed, words, percent)
-    live = signed.where("doc_id is not null and n > 0").select("doc_id", "n", "fp1", "fp2")
-    classes = live.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("id"))
-    named = live.join(classes, ["fp1", "fp2"]).join(comp, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    signed, live = judged(docs.select("doc_id", "text"), words, percent)
+    named = live.select("doc_id", F.col("n").alias("n_shingles"), F.col("best.doc_id").alias("component_id"))
     rest = signed.where("doc_id is null or n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return named.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group of near-duplicates: the one with the smallest doc_id.
-    Of rows with the same doc_id one stays."""
-    judged = near_duplicates(docs, words, percent)
-    gone = judged.where("not kept").select("doc_id").distinct()
-    left = docs.join(materialize(gone, "gone"), "doc_id", "left_anti").select(docs.columns)
-    counts = docs.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
-    if counts[0] == counts[1]:
-        return left
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    """docs with one row of each group of near-duplicates: of those with the smallest doc_id the
+    first. Rows are looked up by their number, so no other row goes."""
+    signed, live = judged(docs, words, percent)
+    gone = materialize(live.where("row <> best.row").select("row"), "gone")
+    left = signed.join(gone, "row", "left_anti")
+    others = [n for n in docs.columns if n not in ("doc_id", "text")]
+    held = {"doc_id": "doc_id", "text": "text"} | {n: f"c{k}" for k, n in enumerate(others)}
+    return left.select(*(F.col(held[n]).alias(n) for n in docs.columns))
