@@ -1,14 +1,15 @@
 """License scan: ordered signature rules behind a keyword gate, overlaps resolved by containment.
 
-Rules are made from a table of families by a few forms (name, name with version, SPDX tag, address);
-their order is their priority. A text is lower-cased and gated: only the rules whose keyword it
-contains are tried. All places of a rule are kept as intervals. A place inside another one falls
-away (``gpl`` inside ``lgpl``); of equal intervals the earlier rule stays. Every row is judged by
-itself, so nothing is shuffled.
+The rules (`license_rules`) are written by hand: addresses, names with and without version, passages
+of license texts; their order is their priority. A text is lower-cased and gated: only the rules
+whose keywords it contains are tried. Identifiers in SPDX tags, expressions included, are read apart.
+All places are kept as intervals. A place inside another one falls away (``gpl`` inside ``lgpl``); of
+equal intervals the earlier rule stays. Every row is judged by itself, so nothing is shuffled.
 
 Defined cases: a null text counts as empty: no words, null first_word and last_word, empty labels,
-score 0; repeated rows each give a row; an empty table gives an empty result; extra columns are
-ignored.
+score 0; ties are equal intervals; a very long text is scanned whole, in one task, in time linear in
+its matches; repeated rows each give a row; an empty table gives an empty result; extra columns,
+whatever their names, are ignored.
 """
 from __future__ import annotations
 
@@ -16,7 +17,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .spans import match_spans
+from .license_rules import SPDX_IDS, rules
+from .spans import let, match_spans, running
 
 # Characters that are no part of a word, before A-Z are lower-cased.
 _GAP = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
@@ -26,118 +28,9 @@ _SEP = f"[{_GAP}]+"
 # The base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-# label | keyword | names (regular expressions, spaces stand for any gap) | versions
-FAMILIES = """
-agpl|affero|(gnu )?affero general public licen[cs]e|1 3
-lgpl|lesser|(gnu )?lesser general public licen[cs]e|2.1 3
-lgpl|library general|(gnu )?library general public licen[cs]e|2
-gfdl|free documentation|(gnu )?free documentation licen[cs]e|1.1 1.2 1.3
-gpl|general public|(gnu )?general public licen[cs]e|1 2 3
-apache|apache|apache (software )?licen[cs]e|1.0 1.1 2.0
-mpl|mozilla|mozilla public licen[cs]e|1.0 1.1 2.0
-epl|eclipse|eclipse public licen[cs]e|1.0 2.0
-cddl|common development|common development and distribution licen[cs]e|1.0 1.1
-cpl|common public|common public licen[cs]e|1.0
-eupl|european union|european union public licen[cs]e|1.0 1.1 1.2
-osl|open software|open software licen[cs]e|1.0 2.0 2.1 3.0
-afl|academic free|academic free licen[cs]e|1.1 1.2 2.0 2.1 3.0
-artistic|artistic|artistic licen[cs]e|1.0 2.0
-cecill|cecill|cecill (free software )?licen[cs]e( agreement)?|1.0 1.1 2.0 2.1
-ofl|open font|(sil )?open font licen[cs]e|1.0 1.1
-odbl|open database|open (data commons )?database licen[cs]e|1.0
-boost|boost|boost software licen[cs]e|1.0
-zpl|zope|zope public licen[cs]e|1.1 2.0 2.1
-lppl|latex project|latex project public licen[cs]e|1.0 1.1 1.2 1.3
-ms-pl|microsoft|microsoft public licen[cs]e|
-ms-rl|microsoft|microsoft reciprocal licen[cs]e|
-psf|python|python software foundation licen[cs]e|2
-php|php|php licen[cs]e|3.0 3.01
-ecl|educational|educational community licen[cs]e|1.0 2.0
-rpl|reciprocal|reciprocal public licen[cs]e|1.1 1.5
-spl|sun public|sun public licen[cs]e|1.0
-ibm-pl|ibm|ibm public licen[cs]e|1.0
-apsl|apple public|apple public source licen[cs]e|1.0 1.1 1.2 2.0
-qpl|q public|q public licen[cs]e|1.0
-upl|universal|universal permissive licen[cs]e|1.0
-mulan|mulan|mulan permissive software licen[cs]e|1 2
-bsl|business source|business source licen[cs]e|1.0 1.1
-sspl|server side|server side public licen[cs]e|1
-elastic|elastic|elastic licen[cs]e|2.0
-cc0|cc0|cc0|1.0
-cc0|creative commons|creative commons zero|1.0
-cc-by-nc-sa|creative commons|creative commons attribution non ?commercial share ?alike|2.0 2.5 3.0 4.0
-cc-by-nc-nd|creative commons|creative commons attribution non ?commercial no ?deriv(ative)?s|2.0 2.5 3.0 4.0
-cc-by-sa|creative commons|creative commons attribution share ?alike|2.0 2.5 3.0 4.0
-cc-by-nd|creative commons|creative commons attribution no ?deriv(ative)?s|2.0 2.5 3.0 4.0
-cc-by-nc|creative commons|creative commons attribution non ?commercial|2.0 2.5 3.0 4.0
-cc-by|creative commons|creative commons attribution|2.0 2.5 3.0 4.0
-cc-by-nc-sa|cc|cc by nc sa|2.0 2.5 3.0 4.0
-cc-by-nc-nd|cc|cc by nc nd|2.0 2.5 3.0 4.0
-cc-by-sa|cc|cc by sa|2.0 2.5 3.0 4.0
-cc-by-nd|cc|cc by nd|2.0 2.5 3.0 4.0
-cc-by-nc|cc|cc by nc|2.0 2.5 3.0 4.0
-mit|mit|(the )?mit licen[cs]e|
-mit|expat|(the )?expat licen[cs]e|
-bsd-4-clause|bsd|(bsd 4 clause|original bsd)( licen[cs]e)?|
-bsd-3-clause|bsd|(bsd 3 clause|(new|modified|revised) bsd)( licen[cs]e)?|
-bsd-2-clause|bsd|(bsd 2 clause|(simplified|free) bsd)( licen[cs]e)?|
-bsd|bsd|bsd licen[cs]e|
-isc|isc|isc licen[cs]e|
-zlib|zlib|zlib( libpng)? licen[cs]e|
-ncsa|ncsa|(university of illinois )?ncsa (open source )?licen[cs]e|
-x11|x11|x11 licen[cs]e|
-postgresql|postgresql|postgresql licen[cs]e|
-openssl|openssl|openssl licen[cs]e|
-ruby|ruby|ruby licen[cs]e|
-vim|vim|vim licen[cs]e|
-unlicense|unlicense|(the )?unlicense|
-wtfpl|what the|do what the f\\S{1,8} you want to public licen[cs]e|2
-beerware|beer|(the )?beer ?ware licen[cs]e|
-unicode|unicode|unicode (licen[cs]e agreement|terms of use)|
-json|json|json licen[cs]e|
-public-domain|public domain|(released|placed|dedicated|is) (in|into|to) the public domain|
-mit|permission is hereby|permission is hereby granted free of charge to any person obtaining a copy|
-isc|permission to use|permission to use copy modify and or distribute this software for any purpose|
-bsd|redistribution and use|redistribution and use in source and binary forms|
-apache|you may not use this|you may not use this file except in compliance with the licen[cs]e|
-gpl|free software|this program is free software you can redistribute it and or modify|
-proprietary|proprietary|proprietary and confidential|
-proprietary|unauthorized copying|unauthorized copying of this file|
-reserved|vorbehalten|alle rechte vorbehalten|
-reserved|droits|tous droits réservés|
-reserved|derechos|todos los derechos reservados|
-copyright|copyright|copyright( c| ©)? (19|20)[0-9]{2}|
-"""
-
-
-def rules() -> list[tuple[str, str, str, float]]:
-    """(keyword, regex, label, weight), most specific first. Made from FAMILIES by rule."""
-    gap = "[^a-z0-9]{1,8}"
-    named, versioned, tagged, linked = [], [], [], []
-    for line in FAMILIES.strip().splitlines():
-        label, keyword, name, versions = _fields(line)
-        name = name.replace(" ?", "[^a-z0-9]{0,3}").replace(" ", gap)
-        body = rf"\b(?:{name})"
-        for v in versions.split():
-            number = v.replace(".", r"\.").removesuffix(r"\.0") + (r"(?:\.0)?" if v.endswith(".0") or "." not in v else "")
-            versioned.append((keyword, rf"{body}[^a-z0-9]{{0,4}}(?:international[^a-z0-9]{{1,3}})?(?:version|v\.?|ver\.?)?[^a-z0-9]{{0,3}}{number}(?![0-9.]*[0-9])", f"{label}-{v}", 0.95))
-            tagged.append(("spdx", rf"\bspdx-license-identifier:\s{{0,4}}{label}-{number}(?![0-9a-z.]*[0-9a-z])", f"{label}-{v}", 1.0))
-            if label.startswith("cc-by"):
-                linked.append(("creativecommons.org", rf"creativecommons\.org/licenses/{label[3:]}/{number}", f"{label}-{v}", 1.0))
-            elif label in ("gpl", "lgpl", "agpl", "gfdl"):
-                linked.append(("gnu.org", rf"gnu\.org/licenses/(?:old-licenses/)?{label}-{number}", f"{label}-{v}", 1.0))
-            else:
-                linked.append(("licen", rf"/licen[cs]es?/(?:licen[cs]e-)?{label}-?{number}\b", f"{label}-{v}", 0.9))
-        tagged.append(("spdx", rf"\bspdx-license-identifier:\s{{0,4}}{label}(?![0-9a-z.-]*[0-9a-z])", label, 1.0))
-        named.append((keyword, body + r"\b", label, 0.8))
-    return list(dict.fromkeys([*tagged, *linked, *versioned, *named]))
-
-
-def _fields(line: str) -> list[str]:
-    """Names may hold bars: the first two fields and the last are cut off."""
-    label, keyword, rest = line.split("|", 2)
-    name, versions = rest.rsplit("|", 1)
-    return [label, keyword, name, versions]
+#: An SPDX tag with its license expression, and an identifier in it.
+_ID = r"[a-z0-9][a-z0-9.+-]{0,60}"
+SPDX_TAG = rf"\bspdx-license-identifier:\s{{0,4}}[( ]{{0,4}}{_ID}(?:[) ]{{0,4}}[ ](?:or|and|with)[ ][( ]{{0,4}}{_ID}){{0,12}}"
 
 
 def base_regex(phrase: str | None = None) -> str:
@@ -145,32 +38,48 @@ def base_regex(phrase: str | None = None) -> str:
     return f"(?i)(?<!{WORD})(?:" + "|".join(p.replace(" ", _SEP) for p in some) + f")(?!{WORD})"
 
 
+def spdx_places(text: Column) -> Column:
+    """Places of the known identifiers in SPDX tags."""
+    def places(tag: Column) -> Column:
+        named = F.transform(match_spans(tag["match"], F.lit(_ID)), lambda m: F.struct((tag["start"] + m["start"]).alias("start"), (tag["start"] + m["end"]).alias("end"), F.regexp_replace(m["match"], r"(?:-only|-or-later|\+|\.)$", "").alias("id")))
+        known = F.filter(named, lambda m: m["id"].rlike(f"^(?:{SPDX_IDS})$"))
+        # Whole versions of the GNU licenses go without their .0.
+        return F.transform(known, lambda m: F.struct(m["start"].alias("start"), (-m["end"]).alias("minus_end"), F.lit(-1).alias("priority"), F.regexp_replace(m["id"], r"^((?:a|l)?gpl-[123])\.0$", "$1").alias("label"), F.lit(1.0).alias("weight")))
+
+    return F.when(F.contains(text, F.lit("spdx")), F.flatten(F.transform(match_spans(text, F.lit(SPDX_TAG)), places)))
+
+
 def detections(text: Column) -> Column:
     """array<struct<start, end, label, weight>> of the places of the method's rules in a lower-cased
     text that stay after suppression."""
-    table = F.array(*(F.struct(F.lit(i).alias("priority"), F.array(*map(F.lit, k.split())).alias("keywords"), F.lit(r).alias("regex"), F.lit(n).alias("label"), F.lit(w).alias("weight")) for i, (k, r, n, w) in enumerate(rules())))
-    tried = F.filter(table, lambda r: F.forall(r["keywords"], lambda k: F.contains(text, k)))
-    places = F.array_sort(F.flatten(F.transform(tried, lambda r: F.transform(match_spans(text, r["regex"]), lambda m: F.struct(
-        m["start"].alias("start"), (-m["end"]).alias("minus_end"), r["priority"].alias("priority"), r["label"].alias("label"), r["weight"].alias("weight"))))))
-    kind = "array<struct<start:int,end:int,label:string,weight:double>>"
-    start = F.struct(F.lit(-1).alias("reach"), F.expr(f"cast(array() as {kind})").alias("out"))
-    # In this order a place lies inside another one just if an earlier one reaches as far.
-    return F.aggregate(places, start, lambda s, p: F.struct(
-        F.greatest(s["reach"], -p["minus_end"]).alias("reach"),
-        F.when(s["reach"] >= -p["minus_end"], s["out"]).otherwise(F.concat(s["out"], F.array(F.struct(p["start"].alias("start"), (-p["minus_end"]).alias("end"), p["label"].alias("label"), p["weight"].alias("weight"))))).alias("out")),
-        lambda s: s["out"])
+    by_keyword: dict[str, list] = {}
+    for i, (k, r, n, w) in enumerate(rules()):
+        by_keyword.setdefault(k, []).append(F.struct(F.lit(i).alias("priority"), F.lit(r).alias("regex"), F.lit(n).alias("label"), F.lit(w).alias("weight")))
+    table = F.array(*(F.struct(F.array(*map(F.lit, k.split())).alias("keywords"), F.array(*rs).alias("rules")) for k, rs in by_keyword.items()))
+    tried = F.flatten(F.transform(F.filter(table, lambda t: F.forall(t["keywords"], lambda k: F.contains(text, k))), lambda t: t["rules"]))
+    found = F.flatten(F.transform(tried, lambda r: F.when(F.regexp_like(text, r["regex"]), F.transform(match_spans(text, r["regex"]), lambda m: F.struct(
+        m["start"].alias("start"), (-m["end"]).alias("minus_end"), r["priority"].alias("priority"), r["label"].alias("label"), r["weight"].alias("weight")))).otherwise(F.expr("cast(array() as array<struct<start:int,minus_end:int,priority:int,label:string,weight:double>>)"))))
+    none = F.expr("cast(array() as array<struct<start:int,minus_end:int,priority:int,label:string,weight:double>>)")
+
+    def kept(places: Column) -> Column:
+        # In this order a place lies inside another one just if an earlier one reaches as far.
+        reach = running(F.transform(places, lambda p: -p["minus_end"]), F.lit(-1), lambda s, e: F.greatest(s, e))
+        marked = F.zip_with(places, reach, lambda p, far: F.struct(p["start"].alias("start"), (-p["minus_end"]).alias("end"), p["label"].alias("label"), p["weight"].alias("weight"), far.alias("reach")))
+        return F.transform(F.filter(marked, lambda p: p["reach"] < p["end"]), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["label"].alias("label"), p["weight"].alias("weight")))
+
+    return let(F.array_sort(F.concat(found, F.coalesce(spdx_places(text), none))), kept)
 
 
 def gates() -> list[tuple[str, ...]]:
     """Sets of literals; every text that some rule but those on ``cc`` fits holds all of one set.
     ``licen`` serves the rules that hold it outside optional and alternative parts."""
     def fixed(regex: str) -> str:
-        regex = regex.removeprefix(r"\b(?:")
+        regex = regex.removeprefix(r"\b(?:").removeprefix(r"\b")
         while (less := re.sub(r"\([^()]*\)\??", "", regex)) != regex:
             regex = less
         return regex
 
-    return list(dict.fromkeys(("licen",) if "licen" in fixed(r) else tuple(k.split()) for k, r, *_ in rules() if k != "cc"))
+    return list(dict.fromkeys([("spdx",), *(("licen",) if "licen" in fixed(r) else tuple(k.split()) for k, r, *_ in rules() if k != "cc")]))
 
 
 def gated(text: Column) -> Column:
