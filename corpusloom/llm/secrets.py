@@ -1,25 +1,31 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-A candidate is the value of an assignment to a name such as ``password`` (spaces and quotes around
-the sign allowed, eight characters or more), or a run of key characters with a digit in it. Its features are length, character transitions and spread, dictionary
-coverage, path marks around it, and the words beside it. A random forest trained on labelled
-findings gives the probability of a real secret. The trained trees are turned into one nested
-CASE expression, so that scoring, like the search, is a DataFrame expression evaluated row by row:
-nothing is shuffled, and the driver sees the training rows' statistics only.
-
-Training uses ``MAX_TRAIN`` labelled findings at most (a documented bound); without a table of such
-findings the forest is trained on findings generated by rule (`generated_findings`).
-
-Defined cases: null and empty texts have no candidates; repeated rows each give their findings; an
-empty table gives an empty result; extra columns are ignored.
+A candidate is a private key block; the value of an assignment to a name such as ``password`` (spaces
+and quotes around the sign allowed, eight characters or more); or a run of at least LEAST key
+characters with a digit in it. Its features are length, character transitions and spread, dictionary
+coverage, path marks around it, and the words beside it. A random forest trained on labelled findings
+gives the probability of a real secret. The trained trees are turned into one nested CASE expression,
+so that scoring, like the search, is a DataFrame expression evaluated row by row: nothing is
+shuffled, and the driver sees the training rows' statistics only.
+
+Training uses ``MAX_TRAIN`` labelled findings at most (a documented bound; those of least hash);
+without a table of such findings the forest is trained on findings labelled by hand
+(`labelled_findings`), each counted HAND times, and on variations made by rule (`generated_findings`).
+
+Defined cases: null and empty texts have no candidates; candidates don't overlap, and where several
+could begin the order above decides; a probability equal to the threshold is a secret; repeated rows
+each give their findings; a very long text is scanned whole, in one task, in time linear in its
+candidates; an empty table gives an empty result; extra columns, whatever their names, are ignored by
+scan and passed on by redact.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from . import labelled_findings
 from .spans import match_spans
 
-MAX_TRAIN, TREES, DEPTH, SEED = 20_000, 16, 6, 11
+MAX_TRAIN, TREES, DEPTH, SEED, HAND = 20_000, 24, 7, 11, 25
 CONTEXT, THRESHOLD, LEAST = 48, 0.5, 16
 
 # Names of things to keep secret, names of things that only look so, common words.
@@ -33,10 +39,11 @@ ASSIGNED = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"
 #: An assigned value, up to the closing quote where it is quoted, or else a key-like run of LEAST
 #: characters or more with a digit, not inside a longer run. The short lookbehind spares most
 #: places the long one.
-CANDIDATE = (rf"(?<=[=:]\s{{0,3}}[\"']?)(?=[^\s\"'])(?<={ASSIGNED})(?:(?<=\")[^\s\"]{{8,}}+(?=\")|(?<=')[^\s']{{8,}}+(?=')|[^\s\"',;<>]{{8,}}+)"
+CANDIDATE = (r"-----BEGIN (?:[A-Z]{1,12} ){0,3}PRIVATE KEY-----[A-Za-z0-9+/=:,\s-]{16,}?-----END (?:[A-Z]{1,12} ){0,3}PRIVATE KEY-----"
+             rf"|(?<=[=:]\s{{0,3}}[\"']?)(?=[^\s\"'])(?<={ASSIGNED})(?:(?<=\")[^\s\"]{{8,}}+(?=\")|(?<=')[^\s']{{8,}}+(?=')|[^\s\"',;<>]{{8,}}+)"
              rf"|(?<!{KEY})(?=[A-Za-z+/_-]*+[0-9]){KEY}{{{LEAST},}}+={{0,2}}")
 
-FEATURES = ["length", "transitions", "spread", "digits", "upper", "hexadecimal", "dictionary", "slashes", "separators", "path", "secret_near", "public_near", "assigned", "quoted", "known_prefix", "repeats"]
+FEATURES = ["length", "transitions", "spread", "digits", "upper", "hexadecimal", "dictionary", "slashes", "separators", "path", "secret_near", "public_near", "assigned", "quoted", "known_prefix", "repeats", "consonants"]
 
 
 def _any(words: list[str]) -> str:
@@ -61,8 +68,9 @@ def features(c: Column, before: Column, after: Column) -> dict[str, Column]:
         "secret_near": num(edge.rlike(_any(SECRET_NAMES))),
         "public_near": num(edge.rlike(_any(PUBLIC_NAMES)) | after.rlike("^.{0,3}" + _any(PUBLIC_NAMES))),
         "assigned": num(edge.rlike(r"[=:]\s{0,3}[\"']?$")), "quoted": num(edge.rlike("[\"']$") & after.rlike("^[\"']")),
-        "known_prefix": num(c.rlike(r"^(?:AKIA|ASIA|gh[pousr]_|sk_live_|sk-|xox[baprs]-|AIza|eyJ|glpat-)")),
+        "known_prefix": num(c.rlike(r"^(?:AKIA|ASIA|gh[pousr]_|sk_live_|sk-|xox[baprs]-|AIza|eyJ|glpat-|-----BEGIN )")),
         "repeats": share(r"(.)(?!\1)"),
+        "consonants": 1 - F.length(F.regexp_replace(F.lower(c), "[bcdfghjklmnpqrstvwxz]{4,}", "")) / n,
     }
 
 
@@ -119,10 +127,18 @@ def train(labelled: DataFrame):
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    f = features(F.col("candidate"), F.col("before"), F.col("after"))
-    rows = labelled.limit(MAX_TRAIN).select(*(f[k].alias(k) for k in FEATURES), F.col("label").cast("double").alias("label")).coalesce(1)
+    before, after = F.right("before", F.lit(CONTEXT)), F.left("after", F.lit(CONTEXT))
+    f = features(F.col("candidate"), before, after)
+    weight = F.col("weight") if "weight" in labelled.columns else F.lit(1.0)
+    rows = labelled.orderBy(F.xxhash64("before", "candidate", "after"), "label").limit(MAX_TRAIN).select(*(f[k].alias(k) for k in FEATURES), F.col("label").cast("double").alias("label"), weight.alias("weight")).coalesce(1)
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
-    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt").fit(rows)
+    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt", weightCol="weight").fit(rows)
+
+
+def default_findings(spark: SparkSession) -> DataFrame:
+    """(before, candidate, after, label, weight): findings labelled by hand and variations."""
+    hand = spark.createDataFrame(labelled_findings.findings(), "before string, candidate string, after string, label int").withColumn("weight", F.lit(float(HAND)))
+    return hand.unionByName(generated_findings(spark).withColumn("weight", F.lit(1.0)))
 
 
 def forest_expression(model, value) -> Column:
@@ -155,17 +171,15 @@ def findings(text: Column, model) -> Column:
 def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per candidate: doc_id, start, end, match, probability, is_secret."""
     spark = docs.sparkSession
-    model = train(labelled if labelled is not None else generated_findings(spark))
+    model = train(labelled if labelled is not None else default_findings(spark))
     found = docs.select("doc_id", F.explode(findings(F.col("text"), model)).alias("x"))
     return found.select("doc_id", F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("end"), F.col("x.match").alias("match"), "x.probability", (F.col("x.probability") >= threshold).alias("is_secret"))
 
 
 def redact(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = THRESHOLD, mark: str = "[SECRET]") -> DataFrame:
     """docs with every secret in text replaced by ``mark``; other texts are left as they are."""
-    model = train(labelled if labelled is not None else generated_findings(docs.sparkSession))
+    model = train(labelled if labelled is not None else default_findings(docs.sparkSession))
     text = F.col("text")
-    secrets = F.filter(findings(text, model), lambda x: x["probability"] >= threshold)
-    done = F.aggregate(secrets, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), lambda s, x: F.struct(
-        x["end"].alias("at"), F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mark)).alias("out")),
-        lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    shown = F.transform(findings(text, model), lambda x: F.when(x["probability"] >= threshold, F.lit(mark)).otherwise(x["match"]))
+    done = F.array_join(F.zip_with(F.split(text, CANDIDATE, -1), shown, lambda a, m: F.concat(a, F.coalesce(m, F.lit("")))), "")
     return docs.withColumn("text", F.when(text.rlike(CANDIDATE), done).otherwise(text))
