@@ -1,6 +1,8 @@
 """Shared helpers: the shared folder, written intermediate tables, text normalisation."""
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from contextlib import contextmanager
 
@@ -23,11 +25,15 @@ def made(into: list[str]):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which driver and executors share. There is no
-    stand-in: a folder of one machine would lose what the others write."""
+    """The folder named in spark.checkpoint.dir, which driver and executors share. Where that is unset
+    and Spark runs within this one process (tests, bench), a temporary folder takes its place; on a
+    cluster there is no stand-in, since a folder of one machine would lose what the others write."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
+        spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
@@ -42,7 +48,8 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     """Write df to the shared folder and read it back: lineage ends here, and a lost executor
     costs a reread instead of a recomputation."""
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
+    # Row groups are held in memory until they are whole, one for each task of an executor.
+    df.write.option("compression", compression).option("parquet.block.size", 16 << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -53,6 +60,14 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settled(spark: SparkSession, name: str, build) -> DataFrame:
+    """The rows of build(), written; the tables that were written on the way are deleted."""
+    with made([]) as paths:
+        out = materialize(build(), name)
+    remove(spark, paths[:-1])
+    return out
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

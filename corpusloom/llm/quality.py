@@ -3,17 +3,20 @@
 One pass turns each text into integer counts. Every ratio goes into a mergeable sketch per
 (lang, source): a histogram whose buckets keep six significant bits, so merging adds counts, the
 result does not depend on merge order, and a quantile is off by 1/32 at most. Thresholds are outer
-fences read from the sketches (upper quartile + 3 interquartile ranges + a slack), taken from the
-group, or, where the group has fewer than ``min_group`` rows, from its language, then from all
-rows. No ceiling is above the bound of its language: the median of the groups' ceilings plus seven
-median deviations, or the slack if that is more (the same fence, in measures that half of the groups cannot shift), so a source
-that is mostly junk cannot vouch for itself. A language with fewer than ``MIN_SOURCES`` groups takes
-the bound of all groups. They are joined back and applied. A corpus of which half the groups are junk
-has no such bound to go by.
+fences read from the sketches (upper quartile + 3 interquartile ranges + a slack). A group's ceiling
+is drawn towards its language's, and that towards the ceiling of all rows, as if PRIOR more rows had
+it: a group of a few rows goes by its language, one of thousands by itself, and there is no size at
+which the rule changes. No ceiling is above the bound of its language: the median of the groups'
+ceilings plus seven median deviations, or the slack if that is more (the same fence, in measures that
+half of the groups cannot shift), so a source that is mostly junk cannot vouch for itself. A language
+with fewer than ``min_sources`` groups, which have no majority, takes the bound of all groups. The
+ceilings are joined back and applied. A corpus of which half the groups are junk has no such bound to
+go by.
 
 Defined cases: null text counts as empty (no words: base_failed); null lang or source is a group
-of its own; repeated rows each give a row; an empty table gives an empty result; extra columns are
-ignored, and only doc_id, text, lang and source are needed.
+of its own; repeated rows each give a row; an empty table gives an empty result; a very long text is
+counted whole, in one task; a ratio equal to its ceiling passes; extra columns, whatever their names,
+are ignored by the report and kept by the filter, and only doc_id, text, lang and source are needed.
 """
 from __future__ import annotations
 
@@ -30,7 +33,7 @@ METRICS = {
     "upper": ("n_upper", "word_chars", 150),
     "shout": ("n_shout", "word_chars", 50),
 }
-MIN_WORDS, MAX_REPEAT_PERCENT, MIN_GROUP, FENCE, MIN_SOURCES = 50, 50, 40, 3, 3
+MIN_WORDS, MAX_REPEAT_PERCENT, PRIOR, FENCE, MIN_SOURCES = 50, 50, 40, 3, 3
 _SPACES = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
 
@@ -146,18 +149,19 @@ def bounds(groups: DataFrame, *keys: str) -> DataFrame:
     return off.groupBy(*keys).agg(F.max("groups").alias("groups"), *(F.floor(F.max(f"__mid_{m}") + F.greatest((2 * FENCE + 1) * F.median(f"__off_{m}"), F.lit(METRICS[m][2]))).alias(f"__bound_{m}") for m in METRICS))
 
 
-def thresholds(counts: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+def thresholds(counts: DataFrame, prior: int = PRIOR, min_sources: int = MIN_SOURCES) -> DataFrame:
     """One row per (lang, source) that occurs, with a ceiling for each metric."""
     q = quantiles(sketches(counts)).withColumn("top", F.col("q3") + FENCE * (F.col("q3") - F.col("q1")))
     tops = materialize(q.groupBy("level", "lang", "source").agg(F.max("total").alias("total"), *(F.max(F.when(F.col("metric") == m, F.col("top") + METRICS[m][2])).alias(f"__max_{m}") for m in METRICS)), "fences")
     own, lang, every = (tops.where(F.col("level") == k).alias(f"l{k}") for k in range(3))
-    large = tops.where((F.col("level") == 0) & (F.col("total") >= min_group))
-    of_lang, of_all = bounds(large, "lang").where(F.col("groups") >= MIN_SOURCES).alias("b1"), bounds(large).alias("b2")
-    j = (own.join(lang, F.col("l0.lang").eqNullSafe(F.col("l1.lang")), "left").join(every, F.col("l2.level") == 2, "left")
-            .join(of_lang, F.col("l0.lang").eqNullSafe(F.col("b1.lang")), "left").join(of_all, F.lit(True), "left"))
-    fence = lambda m: F.when(F.col("l0.total") >= min_group, F.col(f"l0.__max_{m}")).when(F.col("l1.total") >= min_group, F.col(f"l1.__max_{m}")).otherwise(F.col(f"l2.__max_{m}"))
-    pick = lambda m: F.least(fence(m), F.coalesce(F.col(f"b1.__bound_{m}"), F.col(f"b2.__bound_{m}")))
-    return j.select(F.col("l0.lang").alias("__t_lang"), F.col("l0.source").alias("__t_source"), *(pick(m).alias(f"__max_{m}") for m in METRICS))
+    drawn = lambda n, x, y: F.floor((n * x + prior * y) / (n + prior))
+    of = lambda k, m: F.col(f"l{k}.__max_{m}")
+    total = [F.col(f"l{k}.total") for k in range(2)]
+    j = own.join(lang, F.col("l0.lang").eqNullSafe(F.col("l1.lang"))).join(F.broadcast(every), F.col("l2.level") == 2)
+    groups = materialize(j.select("l0.lang", "l0.source", *(drawn(total[0], of(0, m), drawn(total[1], of(1, m), of(2, m))).alias(f"__max_{m}") for m in METRICS)), "groups")
+    of_lang, of_all = bounds(groups, "lang").where(F.col("groups") >= min_sources).alias("b1"), bounds(groups).alias("b2")
+    j = groups.alias("g").join(of_lang, F.col("g.lang").eqNullSafe(F.col("b1.lang")), "left").join(F.broadcast(of_all), F.lit(True), "left")
+    return j.select(F.col("g.lang").alias("__t_lang"), F.col("g.source").alias("__t_source"), *(F.least(f"g.__max_{m}", F.coalesce(f"b1.__bound_{m}", f"b2.__bound_{m}")).alias(f"__max_{m}") for m in METRICS))
 
 
 def judge(counts: DataFrame) -> DataFrame:
@@ -177,24 +181,20 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """docs without the rows that are rejected, all columns as they were. The verdict depends on
-    the row's own counts and its group's ceilings, so the small table of ceilings meets the rows;
-    rows are not looked up by doc_id, and repeated ids do no harm."""
-    counts = materialize(text_counts(docs, "lang", "source"), "quality")
-    limits = materialize(thresholds(counts), "ceilings")
+    """docs without the rows that are rejected, all columns as they were. Rows are written with their
+    counts, once; the verdict depends on these and on the group's ceilings, so the small table of
+    ceilings meets the rows, none is looked up by doc_id, and repeated ids do no harm."""
     names = [x.split()[0] for x in COUNTS.split(", ")]
-    shown = docs.schema.names
+    at = {n: k for k, n in enumerate(docs.columns)}
+    kinds = T.StructType([*(T.StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema.fields)), *(T.StructField(n, T.LongType()) for n in names)])
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            rows = [count_text(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, pa.int64()) for c in zip(*rows))], names=[*b.schema.names, *(f"__{n}" for n in names)])
+            rows = [count_text(t) for t in b.column(at["text"]).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(names)))], names=kinds.names)
 
-    kinds = T.StructType([*docs.schema.fields, *(T.StructField(f"__{n}", T.LongType()) for n in names)])
-    j = docs.mapInArrow(run, kinds).join(limits, F.col("lang").eqNullSafe(F.col("__t_lang")) & F.col("source").eqNullSafe(F.col("__t_source")), "left")
-    ok = ~base_failed("__")
-    for m in METRICS:
-        ok = ok & F.coalesce(_ratio(m, "__") <= F.col(f"__max_{m}"), F.lit(True))
-    return j.where(ok).select(*(F.col(f"`{n}`") for n in shown))
+    counted = materialize(docs.mapInArrow(run, kinds), "quality").withColumns({"lang": F.col(f"c{at['lang']}"), "source": F.col(f"c{at['source']}")})
+    kept = judge(counted).where("kept")
+    return kept.select(*(F.col(f"c{k}").alias(n) for n, k in at.items()))

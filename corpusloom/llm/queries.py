@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import read
+from .common import read, settled
+from .quality import FENCE, MAX_REPEAT_PERCENT, METRICS, MIN_SOURCES, MIN_WORDS, PRIOR
 
 #: The rules of the URL query: (verdict, host, path).
 URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -12,7 +13,7 @@ URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block",
 def op1_pack_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(read(spark, sf_dir, "documents"), length=2048, end_id=1)
+    return settled(spark, "op1", lambda: pack(read(spark, sf_dir, "documents"), length=2048, end_id=1))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,32 +26,33 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urlfilter import judge_urls
 
-    return judge_urls(read(spark, sf_dir, "pages"), spark.createDataFrame(list(URL_RULES), "verdict string, host string, path string"))
+    rules = spark.createDataFrame(list(URL_RULES), "verdict string, host string, path string")
+    return settled(spark, "op3", lambda: judge_urls(read(spark, sf_dir, "pages"), rules))
 
 
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
-    return near_duplicates(read(spark, sf_dir, "documents"), words=2, percent=80)
+    return settled(spark, "op4", lambda: near_duplicates(read(spark, sf_dir, "documents"), words=2, percent=80))
 
 
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import top_k
 
-    return top_k(read(spark, sf_dir, "embeddings"), k=5, every=50)
+    return settled(spark, "op5", lambda: top_k(read(spark, sf_dir, "embeddings"), k=5, every=50))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_report
 
-    q = quality_report(read(spark, sf_dir, "documents"))
-    return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return settled(spark, "op6", lambda: quality_report(read(spark, sf_dir, "documents")).select(columns))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffixdedup import repeated_bytes
 
-    return repeated_bytes(read(spark, sf_dir, "documents"), length=50)
+    return settled(spark, "op7", lambda: repeated_bytes(read(spark, sf_dir, "documents"), length=50))
 
 
 def op8_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +64,7 @@ def op8_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokenstore import write_and_verify
 
-    return write_and_verify(read(spark, sf_dir, "documents"), end_id=0)
+    return settled(spark, "op9", lambda: write_and_verify(read(spark, sf_dir, "documents"), end_id=0))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,4 +116,33 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.m AS component_id, d.doc_id =
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.a = d.doc_id
 """
 
-ORACLE_SQL = {"op3_url_filter": OP3_SQL, "op4_near_dup": OP4_SQL, "op5_top_k": OP5_SQL}
+_RATIOS = {m: f"CASE WHEN {below} > 0 THEN floor(1000 * {top} / {below}) ELSE 0 END::BIGINT" for m, (top, below, _) in METRICS.items()}
+_EACH = lambda f: ", ".join(f(m) for m in METRICS)
+_DRAWN = lambda n, x, y: f"floor(({n} * {x} + {PRIOR} * {y}) / ({n} + {PRIOR}))"
+
+OP6_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t, {_WORDS} AS w,
+             list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS k FROM (SELECT r, i, w[i : i + 2] AS x FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d))),
+c AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM g WHERE k > 1) GROUP BY r),
+n AS (SELECT d.r, doc_id, lang, source, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+        CASE WHEN len(w) = 0 THEN 0 ELSE length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) END AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+        length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^!]', '', 'g')) AS n_shout, len(lines) AS n_lines FROM d LEFT JOIN c ON c.r = d.r),
+v AS (SELECT *, {_EACH(lambda m: f"{_RATIOS[m]} AS v_{m}")} FROM n),
+x AS ({" UNION ALL ".join(f"SELECT lang, source, '{m}' AS m, {METRICS[m][2]} AS slack, (v_{m} // (1 << greatest(length(bin(v_{m})) - 6, 0))::BIGINT) * (1 << greatest(length(bin(v_{m})) - 6, 0))::BIGINT AS b FROM v" for m in METRICS)}),
+h AS (SELECT 0 AS level, lang, source, m, slack, b, count(*) AS k FROM x GROUP BY ALL UNION ALL SELECT 1, lang, NULL, m, slack, b, count(*) FROM x GROUP BY ALL UNION ALL SELECT 2, NULL, NULL, m, slack, b, count(*) FROM x GROUP BY ALL),
+s AS (SELECT *, sum(k) OVER (PARTITION BY level, lang, source, m ORDER BY b) AS seen, sum(k) OVER (PARTITION BY level, lang, source, m) AS total FROM h),
+q AS (SELECT level, lang, source, m, max(total) AS total, max(slack) AS slack, min(b) FILTER (WHERE 4 * seen >= total) AS q1, min(b) FILTER (WHERE 4 * seen >= 3 * total) AS q3 FROM s GROUP BY 1, 2, 3, 4),
+f AS (SELECT level, lang, source, m, total, slack, q3 + {FENCE} * (q3 - q1) + slack AS top FROM q),
+o AS (SELECT a.lang, a.source, a.m, a.slack, {_DRAWN("a.total", "a.top", _DRAWN("l.total", "l.top", "e.top"))} AS top FROM f a JOIN f l ON l.level = 1 AND l.m = a.m AND l.lang IS NOT DISTINCT FROM a.lang JOIN f e ON e.level = 2 AND e.m = a.m WHERE a.level = 0),
+y AS (SELECT *, median(top) OVER (PARTITION BY lang, m) AS mid, median(top) OVER (PARTITION BY m) AS mid_all FROM o),
+b1 AS (SELECT lang, m, count(*) AS groups, floor(max(mid) + greatest({2 * FENCE + 1} * median(abs(top - mid)), max(slack))) AS bound FROM y GROUP BY 1, 2),
+b2 AS (SELECT m, floor(max(mid_all) + greatest({2 * FENCE + 1} * median(abs(top - mid_all)), max(slack))) AS bound FROM y GROUP BY 1),
+z AS (SELECT o.lang, o.source, o.m, least(o.top, CASE WHEN b1.groups >= {MIN_SOURCES} THEN b1.bound ELSE b2.bound END) AS ceiling FROM o JOIN b1 ON b1.m = o.m AND b1.lang IS NOT DISTINCT FROM o.lang JOIN b2 ON b2.m = o.m),
+p AS (SELECT lang, source, {_EACH(lambda m: f"max(ceiling) FILTER (WHERE m = '{m}') AS c_{m}")} FROM z GROUP BY 1, 2),
+a AS (SELECT v.*, {" AND ".join(f"v_{m} <= c_{m}" for m in METRICS)} AS fits, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed
+      FROM v JOIN p ON p.lang IS NOT DISTINCT FROM v.lang AND p.source IS NOT DISTINCT FROM v.source)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, fits AND NOT base_failed AS kept FROM a
+"""
+
+ORACLE_SQL = {"op3_url_filter": OP3_SQL, "op4_near_dup": OP4_SQL, "op5_top_k": OP5_SQL, "op6_quality_rules": OP6_SQL}
