@@ -200,14 +200,16 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
-    """(id, g): of each set the shingles of its prefix that some other set has too, ordered from the
-    rarest on. Sets of similarity percent / 100 or more share one of them."""
+    """(id, left, g): of each set the shingles of its prefix that some other set has too, ordered from
+    the rarest on, and how many are left from there on. Sets of similarity percent / 100 or more share
+    one of them, and at the first that they share enough are left in both."""
     rows = sets.select("id", "n", F.explode("set").alias("g"))
     sizes = materialize(rows.groupBy("g").agg(F.count("*").alias("k")), "frequencies")
     total = sizes.agg(F.sum("k")).first()[0] or 0
     counted = skew_join(rows, sizes, ["g"], sizes, total, F.col("id"))
     prefix = F.slice(F.array_sort(F.collect_list(F.struct("k", "g"))), F.lit(1), (F.first("n") - F.ceil(F.first("n") * percent / 100) + 1).cast("int"))
-    return counted.groupBy("id").agg(prefix.alias("prefix")).select("id", F.explode("prefix").alias("x")).where("x.k > 1").select("id", "x.g")
+    prefixes = counted.groupBy("id").agg(F.first("n").alias("n"), prefix.alias("prefix"))
+    return prefixes.select("id", "n", F.posexplode("prefix").alias("at", "x")).where("x.k > 1").select("id", (F.col("n") - F.col("at")).alias("left"), "x.g")
 
 
 def follow_up(rows: DataFrame, comp: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame | None:
@@ -222,18 +224,23 @@ def follow_up(rows: DataFrame, comp: DataFrame, sets: DataFrame, nodes: DataFram
     rare = rare_shingles(sets.join(open_, "id", "left_semi"), percent)
     many = open_.groupBy("component").agg(F.count("*").alias("size"))
     k = materialize(many.groupBy().agg(F.sum("size").alias("n")), "total").first()["n"]
-    there = skew_join(open_, many, ["component"], many.withColumnRenamed("size", "k"), k, F.col("id")).join(nodes, "id")
+    there = skew_join(open_, many, ["component"], many.withColumnRenamed("size", "k"), k, F.col("id")).join(nodes.drop("parts"), "id")
     there = materialize(rare.join(there, "id"), "prefixes")
-    held = materialize(there.groupBy("g").agg(F.count("*").alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("g", "k"), "shared")
+    me = F.struct("size", "component")
+    held = materialize(there.groupBy("g").agg(F.count("*").alias("k"), F.min(me).alias("lo"), F.max(me).alias("hi")).where("lo < hi"), "shared")
     # A pair is met from its smaller component; each share of a hot shingle meets all of its sets.
     total = held.agg(F.sum("k")).first()[0] or 0
+    there = skew_join(there, held.select("g", "lo", "hi"), ["g"], held, total, F.col("id")).withColumn("me", me)
     hot = F.broadcast(held.where(F.col("k") * HOT > total).select("g", F.lit(True).alias("hot")))
-    there = there.join(held.select("g"), "g", "left_semi").join(hot, "g", "left")
-    p = there.withColumn("share", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SPLITS))).otherwise(0).cast("int")).alias("p")
-    q = there.withColumn("share", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SPLITS - 1))).otherwise(F.array(F.lit(0))))).alias("q")
-    ok = (F.struct("p.size", "p.component") < F.struct("q.size", "q.component")) & may_link(percent, *map(F.col, ("p.n", "p.c", "q.n", "q.c"))) & can_share(percent, *map(F.col, ("p.n", "p.parts", "q.n", "q.parts")))
-    pairs = p.join(q, (F.col("p.g") == F.col("q.g")) & (F.col("p.share") == F.col("q.share")) & ok).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
-    return materialize(confirm(materialize(pairs.distinct(), "pairs"), sets, percent), "links")
+    p = there.where("me < hi").drop("lo", "hi", "me").join(hot, "g", "left").withColumn("share", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SPLITS))).otherwise(0).cast("int")).alias("p")
+    q = there.where("me > lo").drop("lo", "hi", "me").join(hot, "g", "left").withColumn("share", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SPLITS - 1))).otherwise(F.array(F.lit(0))))).alias("q")
+    smaller = (F.col("p.size") < F.col("q.size")) | ((F.col("p.size") == F.col("q.size")) & (F.col("p.component") < F.col("q.component")))
+    enough = F.least("p.left", "q.left") * (100 + percent) >= percent * (F.col("p.n") + F.col("q.n"))
+    ok = smaller & enough & may_link(percent, *map(F.col, ("p.n", "p.c", "q.n", "q.c")))
+    pairs = p.join(q, (F.col("p.g") == F.col("q.g")) & (F.col("p.share") == F.col("q.share")) & ok).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
+    side = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"{x}n"), F.col("parts").alias(f"{x}parts"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(can_share(percent, *map(F.col, ("an", "aparts", "bn", "bparts")))).select("a", "b")
+    return materialize(confirm(materialize(pairs, "pairs"), sets, percent), "links")
 
 
 def links(signed: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
