@@ -33,12 +33,12 @@ import hashlib
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, partitions, splitmix
+from .common import materialize, partitions, skew_join, splitmix
 
 GRAM = 20
 BLOCK_BYTES = 2 << 20
 #: Bytes of input to a range, and the most ranges (their splitters go to every task).
-PART_BYTES, MAX_PARTS = 8 << 20, 1 << 20
+PART_BYTES, MAX_PARTS = 4 << 20, 1 << 20
 #: Anchors sampled in a block, from one stretch of this many bytes; suffixes whose windows are sorted at a time.
 SAMPLE, STRETCH, CHUNK = 32, 1 << 16, 1 << 16
 KEY = 18
@@ -526,10 +526,12 @@ def _matched(ranges: Ranges, length: int):
 
 def _across(told: DataFrame) -> DataFrame:
     """Step 5: (block, body) of the windows left that start in a smaller document of another range.
-    A range sends a window of one document only, so a window has as many rows as ranges."""
+    A range sends a window of one document only, but that may hold it often."""
     left = told.where("bytes is not null").select("block", "place", "doc", "bytes")
-    least = left.groupBy("bytes").agg(F.min("doc").alias("least"))
-    again = left.join(least, "bytes").where("doc > least").select("block", "place")
+    least = left.groupBy("bytes").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("k")).where("least < most")
+    least = materialize(least.drop("most"), "across")
+    total = least.agg(F.sum("k")).first()[0] or 0
+    again = skew_join(left, least.select("bytes", "least"), ["bytes"], least, total, F.col("place")).where("doc > least").select("block", "place")
 
     def run(batches):
         import numpy as np
