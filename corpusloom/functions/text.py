@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-#: White space as Python's str.strip and str.split have it, as far as it is one byte in Latin-1.
-SPACE = "\\s\\x0B\\x1C-\\x1F\\x85\\xA0"
-_BLANKS = " \t\n\r\f\x0b\x1c\x1d\x1e\x1f\x85\xa0"
+#: White space as Python's str.strip and str.split have it, as a character class and as characters.
+SPACE = "\\s\\x0B\\x1C-\\x1F\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
+_BLANKS = " \t\n\r\f\x0b\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(s: Column) -> Column:
@@ -53,8 +53,8 @@ def shorten(s: Column, limit: int = 1000) -> Column:
 
 
 def head_words(s: Column, n: int = 10) -> Column:
-    """The first n words and a full stop."""
-    return F.concat(F.array_join(F.slice(words(s), 1, n), " "), F.lit("."))
+    """The first n words without the sentence's end, and a full stop. The rules apply to this."""
+    return F.concat(F.array_join(F.slice(words(without_end(s)), 1, n), " "), F.lit("."))
 
 
 def output_name(path: Column, rule: Column) -> Column:
@@ -62,6 +62,15 @@ def output_name(path: Column, rule: Column) -> Column:
     return F.concat(F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?$", 1), F.lit("_"), rule, F.lit(".train"))
 
 
+def megabytes(size: Column) -> Column:
+    """Bytes as the reference's file report shows them."""
+    return F.format_string("%.2f MB", size / F.lit(1024.0 * 1024.0))
+
+
+def minutes(seconds: Column) -> Column:
+    return F.format_string("%.2f min", seconds / F.lit(60.0))
+
+
 def file_safe(name: Column) -> Column:
     return F.translate(F.lower(name), " -/", "___")
 

@@ -4,6 +4,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+#: Rows that one task should sort.
+ROWS = 1_000_000
+
+
+def even_buckets(df: DataFrame, value: Column, name: str, rows: int = ROWS) -> DataFrame:
+    """df with ``name``: a bucket number that never decreases along a numeric value, as many buckets
+    as ``rows`` go into the table, equally wide. One row of bounds meets every row."""
+    v = value.cast("double")
+    ends = df.agg(F.min(v).alias("__lo"), F.max(v).alias("__hi"), F.greatest(F.ceil(F.count("*") / rows), F.lit(1)).alias("__k"))
+    at = F.floor((v - F.col("__lo")) / (F.col("__hi") - F.col("__lo") + 1e-9 * F.abs(F.col("__hi")) + 1e-9) * F.col("__k"))
+    return df.join(F.broadcast(ends)).withColumn(name, F.coalesce(F.least(at, F.col("__k") - 1), F.lit(-1)).cast("long")).drop("__lo", "__hi", "__k")
+
+
 def number_rows(df: DataFrame, keys: list[str], bucket: Column, order: list, name: str = "rn") -> DataFrame:
     """``row_number`` over (keys, order) where ``bucket`` never decreases along that order. Rows are
     sorted within their bucket only; the buckets' counts, one row each, give the offsets."""
@@ -16,17 +29,23 @@ def number_rows(df: DataFrame, keys: list[str], bucket: Column, order: list, nam
             .withColumn(name, (F.col(name) + F.col("__first")).cast("long")).drop("__b", "__first"))
 
 
-def running_offsets(df: DataFrame, keys: list[str], bucket: Column, order: list, size: Column, name: str = "offset") -> DataFrame:
-    """The sum of ``size`` over the rows before each one per keys, in an order along which ``bucket``
-    never decreases. Sorted and summed as in number_rows; null keys are keys of their own."""
-    d = df.withColumns({"__b": bucket, "__size": size.cast("long")})
-    sums = d.groupBy(*keys, "__b").agg(F.sum("__size").alias("__n"))
+def running_sums(df: DataFrame, keys: list[str], bucket: Column, order: list, sizes: dict[str, Column]) -> DataFrame:
+    """For each name the sum of its column over the rows before each one per keys, in an order along
+    which ``bucket`` never decreases. Sorted and summed as in number_rows; null keys are keys of their own."""
+    d = df.withColumns({"__b": bucket, **{f"__size_{n}": c for n, c in sizes.items()}})
+    sums = d.groupBy(*keys, "__b").agg(*(F.sum(f"__size_{n}").alias(f"__n_{n}") for n in sizes))
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
     w = before.partitionBy(*keys).orderBy("__b")
-    first = sums.select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col("__b").alias("__k_b"), F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__first"))
+    none = lambda n: F.lit(0).cast(d.schema[f"__size_{n}"].dataType)
+    first = sums.select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col("__b").alias("__k_b"), *(F.coalesce(F.sum(f"__n_{n}").over(w), none(n)).alias(f"__first_{n}") for n in sizes))
     same = F.col("__b").eqNullSafe(F.col("__k_b"))
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
     own = before.partitionBy(*keys, "__b").orderBy(*order)
-    return (d.withColumn(name, F.coalesce(F.sum("__size").over(own), F.lit(0))).join(first, same)
-            .withColumn(name, F.col(name) + F.col("__first")).drop("__b", "__size", "__k_b", "__first", *(f"__k_{k}" for k in keys)))
+    d = d.withColumns({n: F.coalesce(F.sum(f"__size_{n}").over(own), none(n)) for n in sizes}).join(first, same)
+    return d.withColumns({n: F.col(n) + F.col(f"__first_{n}") for n in sizes}).drop("__b", "__k_b", *(f"__k_{k}" for k in keys), *(f"__{x}_{n}" for n in sizes for x in ("size", "first")))
+
+
+def running_offsets(df: DataFrame, keys: list[str], bucket: Column, order: list, size: Column, name: str = "offset") -> DataFrame:
+    """running_sums of one column of whole numbers."""
+    return running_sums(df, keys, bucket, order, {name: size.cast("long")})

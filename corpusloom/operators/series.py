@@ -3,20 +3,29 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .ranking import number_rows
+from .ranking import even_buckets, number_rows, running_sums
+
+#: Losses are summed as decimals, so a sum does not depend on the order of its parts.
+EXACT = "decimal(28,10)"
 
 
 def event_series(events: DataFrame) -> DataFrame:
-    """(dataset, epoch, step, event_id, loss): the event stream as loss series, numbered per dataset
-    (W1). Days bound what one task sorts."""
+    """(dataset, epoch, step, event_id, loss, bucket): the event stream as loss series, numbered per
+    dataset (W1). Buckets of time, as many as the number of rows asks for, bound what one task sorts."""
     e = events.select(F.col("event_type").alias("dataset"), F.date_trunc("day", "ts").alias("epoch"), "ts", "event_id", F.col("value").alias("loss"))
-    return number_rows(e, ["dataset"], F.col("epoch"), ["ts", "event_id"], "step")
+    e = even_buckets(e, F.unix_micros(F.col("ts").cast("timestamp")), "bucket")
+    return number_rows(e, ["dataset"], F.col("bucket"), ["ts", "event_id"], "step")
 
 
 def running_mean(s: DataFrame) -> DataFrame:
-    """The mean since the start of the epoch."""
-    w = Window.partitionBy("dataset", "epoch").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    return s.withColumn("running", F.avg("loss").over(w)).withColumn("in_epoch", F.row_number().over(Window.partitionBy("dataset", "epoch").orderBy("step")))
+    """The mean since the start of the epoch: an exact decimal sum by the count. Losses that are
+    not finite take no part."""
+    none = F.lit(0).cast(EXACT)
+    exact = F.col("loss").try_cast(EXACT)
+    one = F.when(exact.isNotNull(), 1).otherwise(0).cast("long")
+    d = running_sums(s, ["dataset", "epoch"], F.col("bucket"), ["step"], {"__sum": F.coalesce(exact, none), "__n": one})
+    total = (F.col("__sum") + F.coalesce(exact, none)).cast("double")
+    return d.withColumn("running", F.try_divide(total, F.col("__n") + one)).withColumn("in_epoch", F.col("__n") + one).drop("__sum", "__n")
 
 
 def every(s: DataFrame, k: int, step: str = "step") -> DataFrame:
@@ -31,12 +40,12 @@ def tumbling_mean(s: DataFrame, k: int) -> DataFrame:
 
 
 def best_so_far(s: DataFrame) -> DataFrame:
-    """Whether a value is below all before it. Each epoch's minimum is known first, so a task
-    scans an epoch, not a series."""
-    per = s.groupBy("dataset", "epoch").agg(F.min("loss").alias("m"))
-    before = per.select("dataset", "epoch", F.min("m").over(Window.partitionBy("dataset").orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
-    w = Window.partitionBy("dataset", "epoch").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    return s.withColumn("so_far", F.min("loss").over(w)).join(before, ["dataset", "epoch"]).withColumn("is_best", F.coalesce(F.col("loss") < F.least("so_far", "earlier"), F.lit(True))).drop("so_far", "earlier")
+    """Whether a value is below all before it. Each bucket's minimum is known first, so a task
+    scans a bucket, not a series."""
+    per = s.groupBy("dataset", "bucket").agg(F.min("loss").alias("m"))
+    before = per.select("dataset", "bucket", F.min("m").over(Window.partitionBy("dataset").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
+    w = Window.partitionBy("dataset", "bucket").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    return s.withColumn("so_far", F.min("loss").over(w)).join(before, ["dataset", "bucket"]).withColumn("is_best", F.coalesce(F.col("loss") < F.least("so_far", "earlier"), F.lit(True))).drop("so_far", "earlier")
 
 
 def normalised_axis(n: Column, most: Column, step: Column) -> Column:

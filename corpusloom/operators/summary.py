@@ -22,6 +22,34 @@ def pairwise_tests(m: DataFrame, group: str) -> DataFrame:
     return j.withColumns({"significance": S.significance(F.col("p_value")), "effect_size_category": S.effect_class(F.col("cohens_d")), "stars": S.stars(F.col("p_value"))})
 
 
+def test_results(tests: DataFrame, metric: str = "Loss", alpha: float = 0.05) -> DataFrame:
+    """The tests of pairwise_tests as nested rows."""
+    group = lambda k: F.struct(F.col(f"name{k}").alias("name"), F.col(f"mean{k}").alias("mean"), F.col(f"std{k}").alias("std"), F.col(f"n{k}").alias("n")).alias(f"group{k}")
+    return tests.select("name1", "name2", F.lit(metric).alias("metric_name"), "statistic", "p_value", "cohens_d", "significance", "effect_size_category", F.lit(alpha).alias("alpha"), group(1), group(2))
+
+
+def test_table(results: DataFrame) -> DataFrame:
+    """The ten formatted columns of the table of tests."""
+    four = lambda c: F.format_string("%.4f", F.col(c))
+    return results.select(
+        F.concat("group1.name", F.lit("\nvs\n"), "group2.name").alias("comparison"), four("group1.mean").alias("mean_g1"), four("group1.std").alias("std_g1"), four("group2.mean").alias("mean_g2"), four("group2.std").alias("std_g2"),
+        four("statistic").alias("t_stat"), F.format_string("%.2e", F.col("p_value")).alias("p_value"), four("cohens_d").alias("cohens_d"), F.col("effect_size_category").alias("effect"), F.col("significance").alias("sig"))
+
+
+def grouped_bars(results: DataFrame) -> DataFrame:
+    """Per test both means with their deviations, the labels above and the effect."""
+    first = lambda c: F.split_part(F.col(c), F.lit(" "), F.lit(1))
+    return results.select(
+        F.concat(first("name1"), F.lit("\nvs\n"), first("name2")).alias("comparison"), F.col("group1.mean").alias("mean1"), F.col("group1.std").alias("std1"), F.col("group2.mean").alias("mean2"), F.col("group2.std").alias("std2"),
+        "p_value", F.when(F.col("significance") == "significant", "***").otherwise("ns").alias("label"), F.abs("cohens_d").alias("effect_size"), F.col("effect_size_category").alias("effect_label"))
+
+
+def final_perplexities(s: DataFrame) -> DataFrame:
+    """(dataset, final_perplexity) of the datasets whose last perplexity is finite."""
+    last = s.groupBy("dataset").agg(F.max_by("loss", "step").alias("loss"))
+    return last.select("dataset", S.perplexity(F.col("loss")).alias("final_perplexity")).where(F.col("final_perplexity") < float("inf"))
+
+
 def run_summary(s: DataFrame) -> DataFrame:
     """One row per dataset of (dataset, step, loss)."""
     first, last = F.min_by("loss", "step"), F.max_by("loss", "step")

@@ -20,22 +20,33 @@ def frequencies(lines: DataFrame, text: str = "text") -> DataFrame:
 
 
 def vocabulary(lines: DataFrame, order: str = "doc_id", text: str = "text", least: int = 2) -> DataFrame:
-    """V4: (token, id) with padding 0, unknown 1 and the rest in order of first occurrence. The last
-    window sorts one row per distinct token."""
-    t = lines.select(order, F.posexplode(characters(F.col(text))).alias("pos", "token"))
-    seen = t.groupBy("token").agg(F.count("*").alias("freq"), F.min(F.struct(order, "pos")).alias("first")).where(F.col("freq") >= least)
+    """V4: (token, id) with padding 0, unknown 1 and the rest in order of first occurrence. For the
+    places a line gives a row per distinct character, not per character. The last window sorts one row
+    per distinct token."""
+    c = characters(F.col(text))
+    first = lines.select(order, strip(F.col(text)).alias("line"), F.explode(F.array_distinct(c)).alias("token"))
+    first = first.groupBy("token").agg(F.min(F.struct(order, F.expr("locate(token, line)").alias("pos"))).alias("first"))
+    seen = frequencies(lines, text).where(F.col("freq") >= least).join(first, "token")
     own = seen.select("token", (F.row_number().over(Window.orderBy("first")) + 1).cast("int").alias("id"))
     special = lines.sparkSession.createDataFrame([("<PAD>", PAD), ("<UNK>", UNK)], "token string, id int")
     return special.unionByName(own)
 
 
+def id_table(vocab: DataFrame) -> Column:
+    """The ids of a character vocabulary as one array by code point: a scalar subquery, four bytes for
+    each code point up to the highest (4.5 MB at most)."""
+    own = vocab.where(F.col("id") > UNK).agg(F.array_sort(F.collect_list(F.struct(F.ascii("token").alias("code"), "id"))).alias("x"))
+    before = F.concat(F.array(F.lit(-1)), F.transform("x", lambda e: e["code"]))
+    runs = F.zip_with("x", F.slice(before, F.lit(1), F.size("x")), lambda e, last: F.concat(F.array_repeat(F.lit(UNK), e["code"] - last - 1), F.array(e["id"])))
+    return own.select(F.flatten(runs).alias("ids")).scalar()
+
+
 def encoded(lines: DataFrame, vocab: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids). A character vocabulary is small by nature; Spark broadcasts it if its
-    size allows, and joins by shuffle if not."""
-    t = lines.select(key, F.posexplode(characters(F.col(text))).alias("pos", "token"))
-    j = t.join(vocab.where(F.col("id") > UNK), "token", "left")
-    ids = j.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(UNK)).alias("id")))), lambda x: x["id"]).alias("ids"))
-    return lines.select(key).join(ids, key, "left").select(key, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    """(key, ids). Each line looks its characters up in the table by itself: nothing is
+    exploded or shuffled."""
+    own = lines.select(key, text, id_table(vocab).alias("__ids"))
+    ids = F.transform(characters(F.col(text)), lambda c: F.coalesce(F.get("__ids", F.ascii(c)), F.lit(UNK)))
+    return own.select(key, F.coalesce(ids, F.array().cast("array<int>")).alias("ids"))
 
 
 def framed(ids: Column, n: Column, width: int = WIDTH) -> Column:
@@ -43,10 +54,18 @@ def framed(ids: Column, n: Column, width: int = WIDTH) -> Column:
     return F.when(n < width, F.concat(F.slice(ids, F.lit(1), n), F.array_repeat(F.lit(PAD), F.lit(width) - n))).otherwise(F.slice(ids, F.greatest(n - (width - 1), F.lit(1)), F.lit(width)))
 
 
-def prefix_examples(lines: DataFrame, width: int = WIDTH) -> DataFrame:
-    """V7: every prefix of two or more ids with the id that follows. (doc_id, i, input, target)."""
-    at = lines.where(F.size("ids") > 1).select("doc_id", "ids", F.explode(F.sequence(F.lit(1), F.size("ids") - 1)).alias("i"))
-    return at.select("doc_id", "i", framed(F.col("ids"), F.col("i"), width).alias("input"), F.element_at("ids", F.col("i") + 1).alias("target"))
+def prefix_examples(lines: DataFrame, width: int = WIDTH, key: str = "doc_id") -> DataFrame:
+    """V7, V8: every prefix of two or more ids with the id that follows. (key, i, input, target)."""
+    at = lines.where(F.size("ids") > 1).select(key, "ids", F.explode(F.sequence(F.lit(1), F.size("ids") - 1)).alias("i"))
+    return at.select(key, "i", framed(F.col("ids"), F.col("i"), width).alias("input"), F.element_at("ids", F.col("i") + 1).alias("target"))
+
+
+def prefix_sums(ids: Column) -> tuple[Column, Column, Column]:
+    """Of all prefix examples of one line: how many, the sum of their targets, and the sum of each
+    one's last input times its length; without making them."""
+    heads = F.slice(ids, F.lit(1), F.size(ids) - 1)
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, v: s + v)
+    return (F.size(ids) - 1).cast("long"), total(F.slice(ids, F.lit(2), F.size(ids))), total(F.transform(heads, lambda v, k: v.cast("long") * (k + 1)))
 
 
 def cut_example(ids: Column, cut: Column, width: int = WIDTH) -> tuple[Column, Column]:

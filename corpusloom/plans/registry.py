@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import stats as S, text as X
 from ..operators import ranking, sampling, segment, series, summary, tokens
+from ..sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -34,15 +35,15 @@ docs, events, labels, bench, talks = map(_t, ("documents", "events", "labels", "
 r6 = lambda c: F.round(c, 6)
 
 # ---- SQL pieces ------------------------------------------------------------------------------
-_SP = r"[\s\x0B\x1c-\x1f\x{85}\x{A0}]"
-_BLANK = r"E' \t\n\r\f\x0b\x1c\x1d\x1e\x1f' || chr(133) || chr(160)"
+_SP = r"[\s\x0B\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_BLANK = r"E' \t\n\r\f\x0b\x1c\x1d\x1e\x1f' || " + " || ".join(f"chr({k})" for k in (133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))
 _STRIP = lambda c: f"trim({c}, {_BLANK})"
 _WORDS = lambda c: f"list_filter(regexp_split_to_array({c}, '{_SP}+'), lambda w: w <> '')"
 _END = lambda c: f"rtrim({c}, '.?!')"
 _REV = lambda c: f"(array_to_string(list_reverse({_WORDS(_END(c))}), ' ') || '.')"
 _PAR = lambda c: (f"(CASE WHEN len({_WORDS(_END(c))}) % 2 = 0 THEN 'Not ' || array_to_string({_WORDS(_END(c))}, ' ') || '.' "
                   f"ELSE array_to_string({_WORDS(_END(c))}, ' ') || ' Not.' END)")
-_SPLIT = lambda c: f"string_split(regexp_replace({c}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+_SPLIT = lambda c: f"string_split(regexp_replace({c}, '([.!?]){_SP}+', '\\1' || chr(1), 'g'), chr(1))"
 _SENT = f"WITH sent AS (SELECT doc_id, source, unnest(range(len(a)))::INTEGER AS pos, unnest(a) AS sentence FROM (SELECT doc_id, source, {_SPLIT('text')} AS a FROM documents)) "
 _CHARS = lambda c: f"(CASE WHEN {_STRIP(c)} = '' THEN [] ELSE string_split({_STRIP(c)}, '') END)"
 _SERIES = ("WITH s AS (SELECT event_type AS dataset, date_trunc('day', ts) AS epoch, ts, event_id, value AS loss, "
@@ -103,6 +104,7 @@ def s10(spark, d):
     return sampling.generated_sentences(spark, 10_000)
 
 
+# The four demonstration sentences.
 _DEMO = ["The black cat is eating a fresh fish.", "She can read books quickly.", "They have been waiting for hours.", "The students will study mathematics."]
 
 
@@ -130,11 +132,19 @@ def _rule(f):
 for _name, _f, _sql in [
     ("p1_strip_end", X.without_end, _END("sentence")), ("p3_reverse", X.reverse_words, _REV("sentence")), ("p4_parity", X.parity_negation, _PAR("sentence")),
     ("p6_guard", lambda s: X.guarded(X.reverse_words, s), f"CASE WHEN {_STRIP('sentence')} = '' THEN '' ELSE {_REV('sentence')} END"),
-    ("p8_head_words", X.head_words, f"array_to_string(({_WORDS('sentence')})[1:10], ' ') || '.'"),
 ]:
     query(_name, _SENT + f"SELECT doc_id, pos, {_sql} AS result FROM sent")(_rule(_f))
 
 
+_HEAD = f"(array_to_string(({_WORDS(_END('sentence'))})[1:10], ' ') || '.')"
+
+
+@query("p8_head_words", _SENT + f"SELECT doc_id, pos, {_HEAD} AS simplified, {_REV(_HEAD)} AS reversed, {_PAR(_HEAD)} AS parity FROM sent")
+def p8(spark, d):
+    head = sentences(spark, d).select("doc_id", "pos", X.head_words(F.col("sentence")).alias("simplified"))
+    return head.select("*", X.reverse_words(F.col("simplified")).alias("reversed"), X.parity_negation(F.col("simplified")).alias("parity"))
+
+
 @query("p2_words", _SENT + f"SELECT doc_id, pos, len({_WORDS('sentence')})::INTEGER AS n_words, array_to_string({_WORDS('sentence')}, '|') AS words FROM sent")
 def p2(spark, d):
     w = X.words(F.col("sentence"))
@@ -172,7 +182,9 @@ def gs1(spark, d):
     return sentences(spark, d)
 
 
-@query("gs3_chunks")
+@query("gs3_chunks", _SENT.replace("WITH", "WITH RECURSIVE", 1) + """, r AS (SELECT doc_id, pos, 0 AS chunk, length(sentence) + 1 AS cur FROM sent WHERE pos = 0 UNION ALL
+SELECT s.doc_id, s.pos, CASE WHEN r.cur + length(s.sentence) < 2000 THEN r.chunk ELSE r.chunk + 1 END, CASE WHEN r.cur + length(s.sentence) < 2000 THEN r.cur ELSE 0 END + length(s.sentence) + 1 FROM r JOIN sent s ON s.doc_id = r.doc_id AND s.pos = r.pos + 1)
+SELECT r.doc_id, r.chunk::INTEGER AS chunk, trim(array_to_string(list(s.sentence ORDER BY s.pos), ' '), ' ') AS body FROM r JOIN sent s ON s.doc_id = r.doc_id AND s.pos = r.pos GROUP BY 1, 2""")
 def gs3(spark, d):
     return docs(spark, d).select("doc_id", F.posexplode(segment.chunks(F.col("text"), 2000)).alias("chunk", "body"))
 
@@ -187,10 +199,10 @@ def gs4(spark, d):
 
 
 # ---- tokens ----------------------------------------------------------------------------------
-@query("v1_characters", f"SELECT doc_id, len({_CHARS('text')})::INTEGER AS n_chars, array_to_string({_CHARS('text')}[1:20], '|') AS head FROM documents")
+@query("v1_characters", f"SELECT doc_id, len({_CHARS('text')})::INTEGER AS n_chars, array_to_string({_CHARS('text')}, '|') AS characters FROM documents")
 def v1(spark, d):
     c = tokens.characters(F.col("text"))
-    return docs(spark, d).select("doc_id", F.size(c).alias("n_chars"), F.array_join(F.slice(c, 1, 20), "|").alias("head"))
+    return docs(spark, d).select("doc_id", F.size(c).alias("n_chars"), F.array_join(c, "|").alias("characters"))
 
 
 @query("v1_character_digest", f"SELECT doc_id, len({_CHARS('text')})::INTEGER AS n_chars, md5(array_to_string({_CHARS('text')}, '|')) AS chars_md5 FROM documents")
@@ -236,8 +248,18 @@ def v6(spark, d):
 
 @query("v7_prefix_pairs", f"WITH {_VOCAB}, p AS (SELECT doc_id, ids, unnest(range(1, len(ids))) AS i FROM enc WHERE len(ids) > 1) SELECT doc_id, count(*) AS n_pairs, sum(ids[i + 1])::BIGINT AS targets, sum(i * ids[i])::BIGINT AS last_inputs FROM p GROUP BY doc_id")
 def v7(spark, d):
-    p = _encoded(spark, d).where(F.size("ids") > 1).select("doc_id", "ids", F.explode(F.sequence(F.lit(1), F.size("ids") - 1)).alias("i"))
-    return p.groupBy("doc_id").agg(F.count("*").alias("n_pairs"), F.sum(F.element_at("ids", F.col("i") + 1)).alias("targets"), F.sum(F.col("i") * F.element_at("ids", F.col("i"))).alias("last_inputs"))
+    n, targets, inputs = tokens.prefix_sums(F.col("ids"))
+    return _encoded(spark, d).where(F.size("ids") > 1).select("doc_id", n.alias("n_pairs"), targets.alias("targets"), inputs.alias("last_inputs"))
+
+
+_FRAME = lambda x, n: f"array_to_string(CASE WHEN {n} < 128 THEN {x} || list_transform(range(128 - {n}), lambda q: 0) ELSE {x}[-128:] END, ',')"
+
+
+@query("v7_prefix_examples", f"WITH {_VOCAB.replace('documents', 'lines')}, p AS (SELECT doc_id, ids, unnest(range(1, len(ids))) AS i FROM enc WHERE len(ids) > 1) SELECT doc_id AS item_id, i::INTEGER AS i, {_FRAME('ids[1:i]', 'i')} AS input, ids[i + 1] AS target FROM p".replace("WITH ", "WITH lines AS (SELECT item_id AS doc_id, text FROM benchmark), ", 1))
+def v7_examples(spark, d):
+    lines = bench(spark, d)
+    e = tokens.encoded(lines, tokens.vocabulary(lines, "item_id"), "item_id")
+    return tokens.prefix_examples(e, key="item_id").select("item_id", "i", F.array_join(F.col("input").cast("array<string>"), ",").alias("input"), "target")
 
 
 @query("v8_framed", f"WITH {_VOCAB} SELECT doc_id, array_to_string(CASE WHEN len(ids) < 128 THEN ids || list_transform(range(128 - len(ids)), lambda x: 0) ELSE ids[-128:] END, ',') AS input FROM enc")
@@ -333,7 +355,8 @@ def a4(spark, d):
 _TESTS = """WITH m AS (SELECT event_type AS g, count(value)::DOUBLE AS n, avg(value) AS m, stddev_samp(value) AS s FROM events GROUP BY 1),
 p AS (SELECT a.g AS name1, b.g AS name2, (a.m - b.m) / sqrt(a.s * a.s / a.n + b.s * b.s / b.n) AS t,
   pow(a.s * a.s / a.n + b.s * b.s / b.n, 2) / (pow(a.s * a.s / a.n, 2) / (a.n - 1) + pow(b.s * b.s / b.n, 2) / (b.n - 1)) AS v,
-  sqrt(((a.n - 1) * a.s * a.s + (b.n - 1) * b.s * b.s) / (a.n + b.n - 2)) AS pooled, (a.m - b.m) AS dm FROM m a JOIN m b ON a.g < b.g),
+  sqrt(((a.n - 1) * a.s * a.s + (b.n - 1) * b.s * b.s) / (a.n + b.n - 2)) AS pooled, (a.m - b.m) AS dm,
+  a.m AS m1, a.s AS s1, a.n::BIGINT AS n1, b.m AS m2, b.s AS s2, b.n::BIGINT AS n2 FROM m a JOIN m b ON a.g < b.g),
 q AS (SELECT *, dm / pooled AS d, atan(abs(t) / sqrt(v)) AS u, 1.5707963267948966::DOUBLE - 1e-12::DOUBLE AS half, 10 / sqrt(v) AS reach FROM p),
 w AS (SELECT *, least(half - u, reach) / 2000 AS h1, least(half, reach) / 2000 AS h0 FROM q),
 z AS (SELECT *, least(1.0::DOUBLE, h1 * list_sum(list_transform(range(2001), lambda i: (CASE WHEN i = 0 OR i = 2000 THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END)::DOUBLE * exp((v - 1) * ln(cos(u + i * h1)))))
@@ -355,9 +378,30 @@ def j2(spark, d):
     return _tests(spark, d).select("name1", "name2", F.lit("Loss").alias("metric_name"), "significance", "effect_size_category", "stars")
 
 
-@query("g5_test_table", _TESTS + "SELECT name1 || ' vs ' || name2 AS comparison, printf('%.4f', t) AS t, printf('%.4f', p) AS p, printf('%.4f', d) AS d FROM z")
+_SIG = "CASE WHEN p < 0.05 THEN 'significant' ELSE 'not_significant' END"
+_EFFECT = "CASE WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small' WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END"
+_SIDE = lambda k: f"""'{{"name":"' || name{k} || '","mean":' || round(m{k}, 6) || ',"std":' || round(s{k}, 6) || ',"n":' || n{k} || '}}'"""
+
+
+@query("g5_test_table", _TESTS + f"""SELECT name1 || chr(10) || 'vs' || chr(10) || name2 AS comparison, printf('%.4f', m1) AS mean_g1, printf('%.4f', s1) AS std_g1, printf('%.4f', m2) AS mean_g2, printf('%.4f', s2) AS std_g2,
+printf('%.4f', t) AS t_stat, printf('%.2e', p) AS p_value, printf('%.4f', d) AS cohens_d, {_EFFECT} AS effect, {_SIG} AS sig FROM z""")
 def g5(spark, d):
-    return _tests(spark, d).select(F.concat("name1", F.lit(" vs "), "name2").alias("comparison"), F.format_string("%.4f", "statistic").alias("t"), F.format_string("%.4f", "p_value").alias("p"), F.format_string("%.4f", "cohens_d").alias("d"))
+    return summary.test_table(summary.test_results(_tests(spark, d)))
+
+
+@query("g5_grouped_bars", _TESTS + f"""SELECT name1 || chr(10) || 'vs' || chr(10) || name2 AS comparison, round(m1, 6) AS mean1, round(s1, 6) AS std1, round(m2, 6) AS mean2, round(s2, 6) AS std2, round(p, 6) AS p_value,
+CASE WHEN p < 0.05 THEN '***' ELSE 'ns' END AS label, round(abs(d), 6) AS effect_size, {_EFFECT} AS effect_label FROM z""")
+def g5_bars(spark, d):
+    rounded = ("mean1", "std1", "mean2", "std2", "p_value", "effect_size")
+    return summary.grouped_bars(summary.test_results(_tests(spark, d))).withColumns({c: r6(c) for c in rounded})
+
+
+@query("k7_test_results", _TESTS + f"""SELECT name1, name2, 'Loss' AS metric_name, round(t, 6) AS statistic, round(p, 6) AS p_value, round(d, 6) AS cohens_d, {_SIG} AS significance, {_EFFECT} AS effect_size_category, 0.05::DOUBLE AS alpha,
+{_SIDE(1)} AS group1, {_SIDE(2)} AS group2 FROM z""")
+def k7(spark, d):
+    side = lambda k: F.to_json(F.struct(f"{k}.name", r6(f"{k}.mean").alias("mean"), r6(f"{k}.std").alias("std"), f"{k}.n")).alias(k)
+    r = summary.test_results(_tests(spark, d))
+    return r.select("name1", "name2", "metric_name", *(r6(c).alias(c) for c in ("statistic", "p_value", "cohens_d")), "significance", "effect_size_category", "alpha", side("group1"), side("group2"))
 
 
 @query("a11_weighted_perplexity", "SELECT event_type AS dataset, round(exp(sum(value / 100 * length(props)) / sum(length(props))), 6) AS perplexity FROM events GROUP BY 1")
@@ -395,7 +439,19 @@ def a20(spark, d):
     return s.groupBy("dataset", F.date_format("epoch", "yyyy-MM-dd").alias("epoch")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("step", F.format_string("%.2f", "loss").alias("v")))), lambda x: x["v"]), ",").alias("losses"))
 
 
-@query("k6_summary_json")
+@query("k5_run_metrics", _SERIES + """SELECT dataset, count(*) AS total_steps, max_by(loss, step) AS final_loss, min(loss) AS min_loss, round(exp(max_by(loss, step) / 100), 6) AS final_perplexity, round(exp(min(loss) / 100), 6) AS min_perplexity,
+(floor(epoch(max(ts)))::BIGINT - floor(epoch(min(ts)))::BIGINT)::DOUBLE AS training_time, md5(array_to_string(list(printf('%.2f', loss) ORDER BY step), ',')) AS losses_md5 FROM s GROUP BY dataset""")
+def k5(spark, d):
+    s = series.event_series(events(spark, d))
+    began = s.groupBy("dataset").agg(F.min(F.unix_timestamp("ts")).alias("began"))
+    points = s.join(F.broadcast(began), "dataset").select("dataset", "step", "loss", S.perplexity(F.col("loss") / 100).alias("perplexity"), (F.unix_timestamp("ts") - F.col("began")).cast("double").alias("seconds"))
+    m = files.run_metrics(points, F.lit(None).cast("string"))
+    return m.select("dataset", "total_steps", "final_loss", "min_loss", r6("final_perplexity").alias("final_perplexity"), r6("min_perplexity").alias("min_perplexity"), "training_time",
+                    F.md5(F.array_join(F.transform("losses", lambda x: F.format_string("%.2f", x)), ",")).alias("losses_md5"))
+
+
+@query("k6_summary_json", _SERIES + """SELECT '{' || string_agg('"' || dataset || '":{"final_loss":' || final_loss || ',"min_loss":' || min_loss || ',"max_loss":' || max_loss || ',"steps":' || steps || '}', ',' ORDER BY dataset) || '}' AS json
+FROM (SELECT dataset, max_by(loss, step) AS final_loss, min(loss) AS min_loss, max(loss) AS max_loss, count(*) AS steps FROM s GROUP BY dataset)""")
 def k6(spark, d):
     s = summary.run_summary(series.event_series(events(spark, d)))
     return s.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("dataset", F.struct("final_loss", "min_loss", "max_loss", "steps")))))).alias("json"))
@@ -411,18 +467,18 @@ def w1(spark, d):
     return _series(spark, d).select("dataset", "event_id", "step")
 
 
-_RUN = _SERIES + ", r AS (SELECT dataset, event_id, step, avg(loss) OVER w AS running, row_number() OVER w AS in_epoch FROM s WINDOW w AS (PARTITION BY dataset, epoch ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) "
+_RUN = _SERIES + ", r AS (SELECT dataset, event_id, step, sum(loss::DECIMAL(28, 10)) OVER w::DOUBLE / count(*) OVER w AS running, row_number() OVER w AS in_epoch FROM s WINDOW w AS (PARTITION BY dataset, epoch ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) "
 
 
-@query("w2_running_mean", _RUN + "SELECT dataset, step, round(running + 1.234e-8, 6) AS running FROM r")
+@query("w2_running_mean", _RUN + "SELECT dataset, step, running FROM r")
 def w2(spark, d):
-    return series.running_mean(_series(spark, d)).select("dataset", "step", r6(F.col("running") + 1.234e-8).alias("running"))
+    return series.running_mean(_series(spark, d)).select("dataset", "step", "running")
 
 
-@query("w3_logged_steps", _RUN + "SELECT dataset, step, round(running + 1.234e-8, 6) AS running, CASE WHEN running < 100 THEN round(exp(running / 10), 4) END AS perplexity FROM r WHERE step % 5 = 0")
+@query("w3_logged_steps", _RUN + "SELECT dataset, step, running, CASE WHEN running < 100 THEN round(exp(running / 10), 4) END AS perplexity FROM r WHERE step % 5 = 0")
 def w3(spark, d):
     s = series.every(series.running_mean(_series(spark, d)), 5)
-    return s.select("dataset", "step", r6(F.col("running") + 1.234e-8).alias("running"), F.when(F.col("running") < 100, F.round(F.exp(F.col("running") / 10), 4)).alias("perplexity"))
+    return s.select("dataset", "step", "running", F.when(F.col("running") < 100, F.round(F.exp(F.col("running") / 10), 4)).alias("perplexity"))
 
 
 @query("w4_tumbling_mean", _SERIES + "SELECT dataset, (step - 1) // 10 AS block, round(avg(loss), 6) AS loss, max(step) AS step FROM s GROUP BY 1, 2 UNION ALL SELECT dataset, -1, round(loss, 6), step FROM s WHERE step = 1")
@@ -538,9 +594,9 @@ def x2(spark, d):
     return docs(spark, d).select("doc_id", X.file_safe(F.concat("source", F.lit(" A-b"))).alias("name"), F.split_part("text", F.lit(" "), F.lit(1)).alias("first_word"))
 
 
-@query("g1_curves", _RUN + "SELECT dataset, step, round(running + 1.234e-8, 6) AS loss FROM r WHERE step % 50 = 0")
+@query("g1_curves", _RUN + "SELECT dataset, step, running AS loss FROM r WHERE step % 50 = 0")
 def g1(spark, d):
-    return series.every(series.running_mean(_series(spark, d)), 50).select("dataset", "step", r6(F.col("running") + 1.234e-8).alias("loss"))
+    return series.every(series.running_mean(_series(spark, d)), 50).select("dataset", "step", F.col("running").alias("loss"))
 
 
 @query("g2_control_curves", _SERIES + "SELECT v.dataset AS variant, v.step, round(v.loss - c.loss, 6) AS diff FROM s v JOIN s c ON c.step = v.step AND c.dataset = 'click' WHERE v.dataset <> 'click'")
@@ -550,13 +606,22 @@ def g2(spark, d):
     return s.where("dataset <> 'click'").join(c, "step").select(F.col("dataset").alias("variant"), "step", r6(F.col("loss") - F.col("control")).alias("diff"))
 
 
+@query("g3_final_perplexity", _SERIES + "SELECT dataset, round(exp(loss), 4) AS final_perplexity FROM (SELECT dataset, max_by(loss, step) / 10 AS loss FROM s GROUP BY dataset) WHERE loss < 100")
+def g3(spark, d):
+    s = _series(spark, d).select("dataset", "step", (F.col("loss") / 10).alias("loss"))
+    return summary.final_perplexities(s).select("dataset", F.round("final_perplexity", 4).alias("final_perplexity"))
+
+
 @query("g4_final_vs_min", _SERIES + "SELECT dataset, 'final' AS bar, max_by(loss, step) AS value FROM s GROUP BY dataset UNION ALL SELECT dataset, 'min', min(loss) FROM s GROUP BY dataset")
 def g4(spark, d):
     s = summary.run_summary(_series(spark, d))
     return s.select("dataset", F.expr("stack(2, 'final', final_loss, 'min', min_loss) as (bar, value)"))
 
 
-@query("t3_save_points")
+@query("t3_save_points", _SERIES.replace("WITH", "WITH RECURSIVE", 1) + """, e AS (SELECT dataset, step, (floor(epoch(ts))::BIGINT % 86400)::DOUBLE AS elapsed FROM s), f AS (
+SELECT dataset, step, elapsed, elapsed >= 3600 AS due, CASE WHEN elapsed >= 3600 THEN elapsed ELSE 0 END AS last FROM e WHERE step = 1 UNION ALL
+SELECT e.dataset, e.step, e.elapsed, e.step % 100 = 0 OR e.elapsed - f.last >= 3600, CASE WHEN e.step % 100 = 0 OR e.elapsed - f.last >= 3600 THEN e.elapsed ELSE f.last END FROM f JOIN e ON e.dataset = f.dataset AND e.step = f.step + 1)
+SELECT dataset, step, elapsed FROM f WHERE due""")
 def t3(spark, d):
     from ..streaming.perturb import save_points
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.stats import perplexity
 from ..functions.text import RULES, strip
 from ..operators.segment import BOUNDARY
 
@@ -29,17 +30,30 @@ def start_rewrite(spark: SparkSession, source: str, sink: str, checkpoint: str,
 
 def save_points(steps: DataFrame, every: int = 100, seconds: float = 300.0) -> DataFrame:
     """The steps at which a snapshot is due: each ``every`` steps, or ``seconds`` after the last.
-    steps: (dataset, step, elapsed). The time rule depends on the firing before it, so a dataset's
-    steps are folded in order, batch after batch, with two numbers as the state."""
-    def fold(pdf):
-        last, out = 0.0, []
-        for step, elapsed in zip(pdf["step"], pdf["elapsed"]):
-            due = step % every == 0 or elapsed - last >= seconds
-            last = elapsed if due else last
-            out.append(due)
-        return pdf.assign(due=out)
-
-    return steps.groupBy("dataset").applyInPandas(lambda p: fold(p.sort_values("step")), "dataset string, step long, elapsed double, due boolean").where("due").drop("due")
+    steps: (dataset, step, elapsed), steps numbered from 1 without gaps. A step divisible by ``every``
+    is always due, whatever went before, so the time rule starts anew there: the steps from one such to
+    the next are folded by themselves, ``every`` of them at a time."""
+    rows = steps.groupBy("dataset", F.floor(F.col("step") / every).alias("part")).agg(F.array_sort(F.collect_list(F.struct("step", "elapsed"))).alias("rows"))
+    none = F.expr("cast(array() as array<struct<step:bigint,elapsed:double>>)")
+
+    def fold(s, x):
+        due = (x["step"] % every == 0) | (x["elapsed"] - s["last"] >= seconds)
+        return F.struct(F.when(due, x["elapsed"]).otherwise(s["last"]).alias("last"), F.when(due, F.concat(s["out"], F.array(x))).otherwise(s["out"]).alias("out"))
+
+    due = F.aggregate("rows", F.struct(F.lit(0.0).alias("last"), none.alias("out")), fold, lambda s: s["out"])
+    return rows.select("dataset", F.explode(due).alias("x")).select("dataset", "x.step", "x.elapsed")
+
+
+def start_metrics(spark: SparkSession, source: str, sink: str, checkpoint: str, cap: float = 100.0) -> StreamingQuery:
+    """Points (dataset, step, loss) that arrive as JSON files are appended with their perplexity, a
+    batch at a time. A batch that is repeated after a failure replaces its own rows."""
+    points = spark.readStream.schema("dataset string, step long, loss double").json(source)
+
+    def append(batch: DataFrame, number: int) -> None:
+        done = batch.select("*", perplexity(F.col("loss"), cap).alias("perplexity"))
+        done.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    return points.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest(states: DataFrame, key: str, order: str) -> DataFrame:
