@@ -5,16 +5,19 @@ Vectors are range-sorted by descending length and packed into blocks; queries ar
 blocks too. A rotation, fitted by SVD on at most ``FIT_ROWS`` vectors (the bound is a documented
 parameter; any rotation gives exact results, a good one prunes more), gathers a vector's weight in
 its first coordinates. Every query first meets the block of the longest vectors, which gives a
-threshold. After that only those pairs of blocks meet whose longest vectors could reach a query's
-threshold. Within a pair a query's partial inner product over the leading coordinates plus the
-product of the residual lengths bounds the score; candidates below the threshold go, the others are
-scored exactly in integers. Bounds carry a margin above rounding error.
+threshold. After that the other blocks come in rounds by descending length (ROUNDS, as shares of the
+blocks), and thresholds rise from round to round. In a round only those pairs of blocks meet whose
+longest vectors could reach a query's threshold; a block of candidates is sent once to each group of
+about TOGETHER query blocks that it meets. Within a pair a query's partial inner product over the
+leading coordinates plus the product of the residual lengths bounds the score; candidates below the
+threshold go, the others are scored exactly in integers. Bounds carry a margin above rounding error.
 
 Defined cases: vectors that are null, or hold null or non-finite components, take no part; shorter
 vectors count as padded with zeros; rows with the same vec_id are separate candidates, only a
 query's own row is left out; ties go to the smaller vec_id; fewer than k other rows give fewer
-results; scores beyond the range of a long are cut to it; rows with a null vec_id take no part;
-extra columns are ignored.
+results; scores beyond the range of a long are cut to it; rows with a null vec_id take no part; an
+empty table gives an empty result; a very long vector makes its block as much larger; extra columns,
+whatever their names, are ignored.
 """
 from __future__ import annotations
 
@@ -25,6 +28,8 @@ from .common import materialize
 FIT_ROWS, LEADING, BLOCK, QUERY_BLOCK, STEP = 4096, 16, 4096, 512, 512
 #: Levels of block lengths to a doubling.
 LEVELS = 16
+#: Shares of the blocks, from the longest on, at which a round ends; query blocks sent together.
+ROUNDS, TOGETHER = (1 / 32, 1 / 4), 16
 
 
 def integers(vectors: DataFrame, scale: int) -> DataFrame:
@@ -176,53 +181,74 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
     ask = materialize(packed(stored.where(F.col("vec_id") % every == 0), dim, QUERY_BLOCK), "queries")
     kind = "qblock long, q int, query_row long, query_id long, vec_id long, score long"
 
-    def opened(r, x):
+    def met(queries: list, candidate):
+        """Scores of blocks of queries with one block of candidates; blocks are (rows, ids, body)."""
         import numpy as np
 
-        return np.frombuffer(r[f"{x}rows"], np.int64), np.frombuffer(r[f"{x}ids"], np.int64), np.frombuffer(r[f"{x}body"], np.float64).reshape(-1, max(dim, 1))
+        opened = lambda rows, ids, body: (np.frombuffer(rows, np.int64), np.frombuffer(ids, np.int64), np.frombuffer(body, np.float64).reshape(-1, max(dim, 1)))
+        c = opened(*candidate)
+        for block, floor, *body in queries:
+            q = opened(*body)
+            known = np.frombuffer(floor, np.float64) if floor is not None else np.full(len(q[0]), -np.inf)
+            yield from ((block, i, int(q[0][i]), int(q[1][i]), v, s) for i, v, s in search(q, c, turn, k, known))
 
-    def meet(batches):
-        import numpy as np
+    def first_met(batches):
         import pyarrow as pa
 
         for b in batches:
             for r in b.to_pylist():
-                q = opened(r, "q")
-                floor = np.frombuffer(r["floor"], np.float64) if r["floor"] else np.full(len(q[0]), -np.inf)
-                found = search(q, opened(r, "c"), turn, k, floor)
-                cols = list(zip(*((r["qblock"], i, int(q[0][i]), int(q[1][i]), v, s) for i, v, s in found))) or [()] * 6
+                found = list(met([(r["qblock"], None, r["qrows"], r["qids"], r["qbody"])], (r["crows"], r["cids"], r["cbody"])))
+                cols = list(zip(*found)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), *[pa.int64()] * 4])], names=["qblock", "q", "query_row", "query_id", "vec_id", "score"])
 
+    def group_met(queries, candidate):
+        import pandas as pd
+
+        found = []
+        for c in candidate[["crows", "cids", "cbody"]].itertuples(index=False):
+            found += met(list(queries[["qblock", "floor", "qrows", "qids", "qbody"]].itertuples(index=False, name=None)), tuple(c))
+        return pd.DataFrame(found, columns=["qblock", "q", "query_row", "query_id", "vec_id", "score"])
+
     qs = ask.select(F.col("block").alias("qblock"), F.col("top").alias("qtop"), F.col("n").alias("qn"), F.col("rows").alias("qrows"), F.col("ids").alias("qids"), F.col("body").alias("qbody"))
     cs = cand.select(F.col("block").alias("cblock"), F.col("rows").alias("crows"), F.col("ids").alias("cids"), F.col("body").alias("cbody"))
-    first = cand.agg(F.min(F.struct((-F.col("top")).alias("t"), "block"))["block"]).first()[0]
+    first, ends, n_ask = cand.agg(F.min(F.struct((-F.col("top")).alias("t"), "block"))["block"], F.percentile_approx("top", F.array(*(F.lit(1 - x) for x in ROUNDS)), 1000)).first() + ask.agg(F.count("*")).first()
     if first is None:
         return ask.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     # One block, of a fixed size, meets all queries.
-    opening = materialize(qs.withColumn("cblock", F.lit(first)).join(F.broadcast(cs.where(F.col("cblock") == first)), "cblock").withColumn("floor", F.lit(None).cast("binary")).mapInArrow(meet, kind), "opening")
+    best = materialize(qs.join(F.broadcast(cs.where(F.col("cblock") == first)), F.lit(True)).mapInArrow(first_met, kind), "opening")
+
     # Thresholds by query block: its k-th scores so far. No more than QUERY_BLOCK * k rows a block.
     def floors(key, pdf):
         import numpy as np
         import pandas as pd
 
-        n, low = int(pdf["qn"].iloc[0]), []
+        n = int(pdf["qn"].iloc[0])
         got = pdf.groupby("q")["score"].agg(["size", "min"])
         f = np.full(n, -np.inf)
         full = got[got["size"] >= k]
         f[full.index.to_numpy(int)] = full["min"]
         return pd.DataFrame({"qblock": [key[0]], "floor": [f.tobytes()], "lowest": [float(f.min())]})
 
-    at = opening.join(qs.select("qblock", "qn"), "qblock").groupBy("qblock").applyInPandas(floors, "qblock long, floor binary, lowest double")
-    heads = qs.select("qblock", "qtop").join(at, "qblock", "left")
-    # Pairs of block numbers, where the longest vectors of both could still reach a threshold. Lengths
-    # are dealt to levels, so that blocks meet by level and no task sees all of them.
-    rest = cand.where(F.col("block") != first).select(F.col("block").alias("cblock"), "top", _level(F.col("top")).alias("level"))
-    lo, hi = rest.agg(F.min("level"), F.max("level")).first()
-    if lo is None:
-        return _ranked(opening, k)
-    need = (F.col("lowest") - 1) / (F.col("qtop") * (1 + 1e-7))
-    start = F.when((F.col("qtop") > 0) & (need > 0), F.greatest(_level(need) - 1, F.lit(lo))).otherwise(F.lit(lo))
-    reach = heads.withColumn("start", start).where(F.col("start") <= hi).withColumn("level", F.explode(F.sequence("start", F.lit(hi))))
-    pairs = reach.join(rest, "level").where(F.coalesce(F.col("qtop") * F.col("top") * (1 + 1e-7) + 1 >= F.col("lowest"), F.lit(True))).select("qblock", "floor", "cblock")
-    more = pairs.join(qs.drop("qtop", "qn"), "qblock").join(cs, "cblock").mapInArrow(meet, kind)
-    return _ranked(opening.unionByName(more), k)
+    groups = max(1, -(-n_ask // TOGETHER))
+    heads = materialize(qs.select("qblock", "qtop", "qn"), "heads")
+    bounds = [float("inf"), *ends, float("-inf")]
+    for high, low in zip(bounds, bounds[1:]):
+        # Pairs of block numbers, where the longest vectors of both could still reach a threshold.
+        # Lengths are dealt to levels, so that blocks meet by level and no task sees all of them.
+        rest = cand.where((F.col("block") != first) & (F.col("top") < high) & (F.col("top") >= low)).select(F.col("block").alias("cblock"), "top", _level(F.col("top")).alias("level"))
+        lo, hi = rest.agg(F.min("level"), F.max("level")).first()
+        if lo is None:
+            continue
+        at = best.join(heads.select("qblock", "qn"), "qblock").groupBy("qblock").applyInPandas(floors, "qblock long, floor binary, lowest double")
+        now = heads.select("qblock", "qtop").join(at, "qblock", "left")
+        need = (F.col("lowest") - 1) / (F.col("qtop") * (1 + 1e-7))
+        start = F.when((F.col("qtop") > 0) & (need > 0), F.greatest(_level(need) - 1, F.lit(lo))).otherwise(F.lit(lo))
+        reach = now.withColumn("start", start).where(F.col("start") <= hi).withColumn("level", F.explode(F.sequence("start", F.lit(hi))))
+        pairs = reach.join(rest, "level").where(F.coalesce(F.col("qtop") * F.col("top") * (1 + 1e-7) + 1 >= F.col("lowest"), F.lit(True)))
+        pairs = materialize(pairs.select("qblock", "floor", "cblock", F.pmod(F.xxhash64("qblock"), F.lit(groups)).alias("together")), "pairs")
+        left = pairs.join(qs.drop("qtop", "qn"), "qblock").groupBy("cblock", "together")
+        right = pairs.select(F.col("cblock").alias("to"), F.col("together").alias("group")).distinct().join(cs.withColumnRenamed("cblock", "to"), "to").groupBy("to", "group")
+        found = best.unionByName(left.cogroup(right).applyInPandas(group_met, kind))
+        w = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+        best = materialize(found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank"), "best")
+    return _ranked(best, k)
