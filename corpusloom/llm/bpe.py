@@ -7,8 +7,9 @@ where it starts, which is so if byte-pair merging leaves the two apart. Reading
 from a word's last node gives its ids. Words come from the tokenizer's own split rule.
 
 Defined cases: null and empty texts have no ids (the digest of an empty string); a special token's
-string in a text is one token, as in the library; repeated rows each give a row; extra columns are
-ignored.
+string in a text is one token, as in the library; repeated rows and rows with equal or null doc_ids
+each give a row; a very long text is encoded whole, in one task; of equal words one is walked, so there
+are no ties; an empty table gives an empty result; extra columns, whatever their names, are ignored.
 """
 from __future__ import annotations
 

@@ -10,7 +10,9 @@ run of the curve, and one row per task gives the global offsets. The offsets the
 row, and each document is cut by itself. No step needs a group in one task.
 
 Defined cases: null and empty texts hold the end id alone; equal keys are ordered by doc_id, equal
-doc_ids by their place in the input; an empty table gives no pieces; extra columns are ignored.
+doc_ids by their place in the input, null doc_ids come first among equal keys; repeated rows are packed
+each; a very long text is encoded whole, in one task, and cut into as many pieces as it needs; an empty
+table gives no pieces; extra columns, whatever their names, are ignored.
 """
 from __future__ import annotations
 

@@ -8,8 +8,9 @@ size with page indexes, so that a reader of a doc_id range or of the metadata al
 A document's start is its file's base, summed from the metadata columns, plus its place there.
 
 Defined cases: null and empty texts hold the end id alone; documents with the same doc_id follow
-each other in text order, identical ones in any order; null doc_ids come first; an empty table
-gives files without rows; extra columns are ignored.
+each other in text order, identical ones in any order; null doc_ids come first; a very long text is
+encoded whole, in one task, and is one list; an empty table gives files without rows; extra columns,
+whatever their names, are ignored.
 """
 from __future__ import annotations
 

@@ -9,8 +9,10 @@ takes the innermost one on the stack that contains the probe. The range sort spl
 rule open at the start of a range is carried in from the ranges before it.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and takes the default
-verdict; of equal rules with both verdicts block wins; repeated rows each give a row; with no rules
-every page takes the default; extra columns are ignored.
+verdict; of equal rules with both verdicts block wins, of rules of equal length the one with the longer
+host; a null page_id is an id like any other; a very long url is one probe for each of its host's
+labels, no deeper than the deepest rule; repeated rows each give a row; no pages give no rows, and with
+no rules every page takes the default; extra columns, whatever their names, are ignored.
 """
 from __future__ import annotations
 
