@@ -77,20 +77,23 @@ def partitions(spark: SparkSession) -> int:
 
 
 #: A key is hot if it holds over one HOT-th of the rows, so there are HOT of them at most; its rows
-#: are dealt to SPLITS shares.
+#: are dealt to SPLITS shares or fewer, so that a share holds about one HOT-th again.
 HOT, SPLITS = 1000, 64
 
 
 def skew_join(rows: DataFrame, one: DataFrame, keys: list[str], sizes: DataFrame, total: int, by: Column, how: str = "inner") -> DataFrame:
-    """rows joined with ``one``, which has a row per key at most. ``sizes`` has (keys, k): how many of
-    the ``total`` rows hold a key. Hot keys, HOT at most, are broadcast; their rows are dealt out by a
-    hash of ``by``, and their row of ``one`` goes to every share."""
-    hot = F.broadcast(sizes.where(F.col("k") * HOT > total).select(*keys, F.lit(True).alias("__hot")))
-    dealt = F.when(F.col("__hot"), F.pmod(F.xxhash64(by), F.lit(SPLITS))).otherwise(0).cast("int")
-    every = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SPLITS - 1))).otherwise(F.array(F.lit(0)))
-    left = rows.join(hot, keys, "left").withColumn("__share", dealt).drop("__hot")
-    right = one.join(hot, keys, "left").withColumn("__share", F.explode(every)).drop("__hot")
-    return left.join(right, [*keys, "__share"], how).drop("__share")
+    """rows joined with ``one``, which has a row per key at most. ``sizes``, a written table, has
+    (keys, k): how many of the ``total`` rows hold a key. The hashes of hot keys, HOT at most, come to
+    the driver; their rows are dealt out by a hash of ``by``, and their row of ``one`` goes to every
+    share. Keys of equal hash are dealt out alike, which changes no result."""
+    hot = sizes.where(F.col("k") * HOT > total).select(F.xxhash64(*keys).alias("h"), "k").collect()
+    if not hot:
+        return rows.join(one, keys, how)
+    shares = min(SPLITS, max(-(-r["k"] * HOT // total) for r in hot))
+    is_hot = F.xxhash64(*keys).isin([r["h"] for r in hot])
+    dealt = F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(shares))).otherwise(0).cast("int")
+    every = F.when(is_hot, F.sequence(F.lit(0), F.lit(shares - 1))).otherwise(F.array(F.lit(0)))
+    return rows.withColumn("__share", dealt).join(one.withColumn("__share", F.explode(every)), [*keys, "__share"], how).drop("__share")
 
 
 _state: dict = {}

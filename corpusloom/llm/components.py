@@ -19,7 +19,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
         def met(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-            least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
+            least = materialize(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k")), "least")
             return skew_join(pairs, least.select("u", "m"), ["u"], least, 2 * now[0], F.col("v")), least
 
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

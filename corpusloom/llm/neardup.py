@@ -29,7 +29,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import HOT, SPLITS, materialize, skew_join, splitmix, trim, worker_state
+from .common import materialize, skew_join, splitmix, trim, worker_state
 from .components import components
 from .encoder import slices
 
@@ -222,22 +222,21 @@ def follow_up(rows: DataFrame, comp: DataFrame, sets: DataFrame, nodes: DataFram
     if open_.isEmpty():
         return None
     rare = rare_shingles(sets.join(open_, "id", "left_semi"), percent)
-    many = open_.groupBy("component").agg(F.count("*").alias("size"))
-    k = materialize(many.groupBy().agg(F.sum("size").alias("n")), "total").first()["n"]
-    there = skew_join(open_, many, ["component"], many.withColumnRenamed("size", "k"), k, F.col("id")).join(nodes.drop("parts"), "id")
+    many = materialize(open_.groupBy("component").agg(F.count("*").alias("size")), "sizes")
+    total = many.agg(F.sum("size")).first()[0]
+    there = skew_join(open_, many, ["component"], many.withColumnRenamed("size", "k"), total, F.col("id")).join(nodes.drop("parts"), "id")
     there = materialize(rare.join(there, "id"), "prefixes")
     me = F.struct("size", "component")
     held = materialize(there.groupBy("g").agg(F.count("*").alias("k"), F.min(me).alias("lo"), F.max(me).alias("hi")).where("lo < hi"), "shared")
-    # A pair is met from its smaller component; each share of a hot shingle meets all of its sets.
+    # A pair is met from its smaller component. Both sides are plain shuffles, so that Spark splits
+    # what is skewed.
     total = held.agg(F.sum("k")).first()[0] or 0
-    there = skew_join(there, held.select("g", "lo", "hi"), ["g"], held, total, F.col("id")).withColumn("me", me)
-    hot = F.broadcast(held.where(F.col("k") * HOT > total).select("g", F.lit(True).alias("hot")))
-    p = there.where("me < hi").drop("lo", "hi", "me").join(hot, "g", "left").withColumn("share", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SPLITS))).otherwise(0).cast("int")).alias("p")
-    q = there.where("me > lo").drop("lo", "hi", "me").join(hot, "g", "left").withColumn("share", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SPLITS - 1))).otherwise(F.array(F.lit(0))))).alias("q")
+    there = materialize(skew_join(there, held.drop("k"), ["g"], held, total, F.col("id")).withColumn("me", me), "met")
+    p, q = there.where("me < hi").drop("lo", "hi", "me").alias("p"), there.where("me > lo").drop("lo", "hi", "me").alias("q")
     smaller = (F.col("p.size") < F.col("q.size")) | ((F.col("p.size") == F.col("q.size")) & (F.col("p.component") < F.col("q.component")))
     enough = F.least("p.left", "q.left") * (100 + percent) >= percent * (F.col("p.n") + F.col("q.n"))
     ok = smaller & enough & may_link(percent, *map(F.col, ("p.n", "p.c", "q.n", "q.c")))
-    pairs = p.join(q, (F.col("p.g") == F.col("q.g")) & (F.col("p.share") == F.col("q.share")) & ok).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
+    pairs = p.join(q, (F.col("p.g") == F.col("q.g")) & ok).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
     side = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"{x}n"), F.col("parts").alias(f"{x}parts"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(can_share(percent, *map(F.col, ("an", "aparts", "bn", "bparts")))).select("a", "b")
     return materialize(confirm(materialize(pairs, "pairs"), sets, percent), "links")
