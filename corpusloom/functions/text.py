@@ -72,7 +72,10 @@ def minutes(seconds: Column) -> Column:
 
 
 def file_safe(name: Column) -> Column:
-    return F.translate(F.lower(name), " -/", "___")
+    out = F.lower(name)
+    for c in " -/":
+        out = F.replace(out, F.lit(c), F.lit("_"))
+    return out
 
 
 def tail_start(s: Column) -> Column:
