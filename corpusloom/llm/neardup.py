@@ -8,11 +8,11 @@ star-shaped candidate edges, confirmed on full shingle sets.
    the smallest doc_id), so exact copies cost one row each.
 3. Buckets with one class go. Each other bucket gives stars, not pairs: edges from a centre (its
    most typical class, then its first) to the other members. Edges are confirmed on full sets.
-4. Two members of a bucket may be linked though neither is linked to a centre. So the classes of
-   buckets that still hold several components are followed up without a cap, by prefix filtering:
-   ordered from the rarest shingle on, two sets of similarity t share one of their first
-   n - ceil(t n) + 1. Classes of different components meet by such a shingle, where sizes and shared
-   shingles allow a link; counts in PARTS parts bound what two classes can share.
+4. Two members of a bucket may be linked though neither is linked to a centre. So buckets that still
+   hold several components are followed up without a cap: each class outside its bucket's largest
+   component meets the bucket's other components, where sizes and shared shingles allow a link.
+   Shingles that occur in one class only bound what that class can share, and counts of the others
+   in PARTS parts bound what two classes can share. A pair is met in one of its buckets only.
 
 Rows of a hot group (copies of one text, members of a bucket, a centre's edges) are dealt to several
 tasks wherever they are joined (`skew_join`).
@@ -199,46 +199,28 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return j.where(100 * shared >= percent * (F.col("an") + F.col("bn") - shared)).select("a", "b")
 
 
-def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
-    """(id, left, g): of each set the shingles of its prefix that some other set has too, ordered from
-    the rarest on, and how many are left from there on. Sets of similarity percent / 100 or more share
-    one of them, and at the first that they share enough are left in both."""
-    rows = sets.select("id", "n", F.explode("set").alias("g"))
-    sizes = materialize(rows.groupBy("g").agg(F.count("*").alias("k")), "frequencies")
-    total = sizes.agg(F.sum("k")).first()[0] or 0
-    counted = skew_join(rows, sizes, ["g"], sizes, total, F.col("id"))
-    prefix = F.slice(F.array_sort(F.collect_list(F.struct("k", "g"))), F.lit(1), (F.first("n") - F.ceil(F.first("n") * percent / 100) + 1).cast("int"))
-    prefixes = counted.groupBy("id").agg(F.first("n").alias("n"), prefix.alias("prefix"))
-    return prefixes.select("id", "n", F.posexplode("prefix").alias("at", "x")).where("x.k > 1").select("id", (F.col("n") - F.col("at")).alias("left"), "x.g")
-
-
 def follow_up(rows: DataFrame, comp: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame | None:
     """Step 4: further links (a, b) between classes of buckets whose members are in several components."""
     named = rows.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = materialize(named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k")), "split")
     total = sizes.agg(F.sum("k")).first()[0] or 0
-    split = sizes.where("lo < hi")
-    open_ = materialize(skew_join(named, split.select("bucket"), ["bucket"], split, total, F.col("id")).select("id", "component").distinct(), "open")
+    split = materialize(sizes.where("lo < hi").select("bucket", "k"), "split")
+    open_ = materialize(skew_join(named, split.select("bucket"), ["bucket"], split, total, F.col("id")), "open")
     if open_.isEmpty():
         return None
-    rare = rare_shingles(sets.join(open_, "id", "left_semi"), percent)
-    many = materialize(open_.groupBy("component").agg(F.count("*").alias("size")), "sizes")
-    total = many.agg(F.sum("size")).first()[0]
-    there = skew_join(open_, many, ["component"], many.withColumnRenamed("size", "k"), total, F.col("id")).join(nodes.drop("parts"), "id")
-    there = materialize(rare.join(there, "id"), "prefixes")
-    me = F.struct("size", "component")
-    held = materialize(there.groupBy("g").agg(F.count("*").alias("k"), F.min(me).alias("lo"), F.max(me).alias("hi")).where("lo < hi"), "shared")
-    # A pair is met from its smaller component. Both sides are plain shuffles, so that Spark splits
-    # what is skewed.
-    total = held.agg(F.sum("k")).first()[0] or 0
-    there = materialize(skew_join(there, held.drop("k"), ["g"], held, total, F.col("id")).withColumn("me", me), "met")
-    p, q = there.where("me < hi").drop("lo", "hi", "me").alias("p"), there.where("me > lo").drop("lo", "hi", "me").alias("q")
-    smaller = (F.col("p.size") < F.col("q.size")) | ((F.col("p.size") == F.col("q.size")) & (F.col("p.component") < F.col("q.component")))
-    enough = F.least("p.left", "q.left") * (100 + percent) >= percent * (F.col("p.n") + F.col("q.n"))
-    ok = smaller & enough & may_link(percent, *map(F.col, ("p.n", "p.c", "q.n", "q.c")))
-    pairs = p.join(q, (F.col("p.g") == F.col("q.g")) & ok).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
-    side = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"{x}n"), F.col("parts").alias(f"{x}parts"))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(can_share(percent, *map(F.col, ("an", "aparts", "bn", "bparts")))).select("a", "b")
+    total = split.agg(F.sum("k")).first()[0]
+    main = open_.groupBy("bucket", "component").agg(F.count("*").alias("s")).groupBy("bucket").agg(F.max(F.struct("s", "component"))["component"].alias("main"))
+    there = skew_join(open_, main, ["bucket"], split, total, F.col("id"))
+    # A class is in BANDS buckets at most.
+    known = open_.groupBy("id").agg(F.collect_list("bucket").alias("buckets")).join(nodes.select("id", "parts"), "id")
+    there = materialize(there.join(known, "id"), "met")
+    # A pair is met once, in its smallest bucket, from a class outside that bucket's largest component.
+    # Both sides are plain shuffles, so that Spark splits what is skewed.
+    p, q = there.where("component <> main").alias("p"), there.alias("q")
+    once = (F.col("p.component") != F.col("q.component")) & ((F.col("q.component") == F.col("q.main")) | (F.col("p.id") < F.col("q.id")))
+    here = F.array_min(F.array_intersect("p.buckets", "q.buckets")) == F.col("p.bucket")
+    ok = once & may_link(percent, *map(F.col, ("p.n", "p.c", "q.n", "q.c"))) & here & can_share(percent, *map(F.col, ("p.n", "p.parts", "q.n", "q.parts")))
+    pairs = p.join(q, (F.col("p.bucket") == F.col("q.bucket")) & ok).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
     return materialize(confirm(materialize(pairs, "pairs"), sets, percent), "links")
 
 
