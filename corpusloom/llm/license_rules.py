@@ -172,9 +172,9 @@ gfdl|invariant sections|with no invariant sections no front cover texts and no b
 ofl|reserved font name|with reserved font name
 cc0|waived all copyright|has waived all copyright and related or neighboring rights
 artistic|reasonable copying fee|reasonable copying fee
-no-warranty|as is|provided as is without (express or implied )?warranty
-no-warranty|as is|is provided as is without warranty of any kind
-no-warranty|any warranty|without any warranty without even the implied warranty
+no-warranty|warranty|provided as is without (express or implied )?warranty
+no-warranty|warranty|is provided as is without warranty of any kind
+no-warranty|warranty|without any warranty without even the implied warranty
 no-warranty|merchantability|warranties of merchantability fitness for a particular purpose
 no-liability|be liable|in no event shall the (authors?|copyright holders?|regents)( or copyright holders)?( or contributors)? be liable
 beerware|buy me a beer|you can buy me a beer in return

@@ -93,10 +93,19 @@ def gated(text: Column) -> Column:
     return gate
 
 
+def count_words(text: Column) -> Column:
+    """How many words there are: the parts between gaps but for empty ones at either end. Splitting at
+    gaps is several times as fast as matching words."""
+    def inner(p: Column) -> Column:
+        return F.greatest(F.size(p) - (F.get(p, F.lit(0)) == "").cast("int") - (F.element_at(p, -1) == "").cast("int"), F.lit(0))
+
+    return let(F.split(text, f"[{_GAP}]++", -1), inner)
+
+
 def scan(docs: DataFrame, *keep: str) -> DataFrame:
     """The kept columns, found (the method's places), n_words, n_base, first_word, last_word and
     base (array of base labels)."""
-    words = lambda c: F.regexp_count(c, F.lit(WORD + "+"))
+    words = count_words
     text = F.coalesce("text", F.lit(""))
     d = docs.select(*(F.col(k) for k in dict.fromkeys(keep)), text.alias("__text"))
     d = d.withColumn("__base", F.col("__text").rlike(base_regex()))
