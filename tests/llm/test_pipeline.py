@@ -268,3 +268,17 @@ def test_token_files(spark, tmp_path):
     plan = some.select("doc_id", "n_tokens")._jdf.queryExecution().executedPlan().toString()
     scans = [x for x in plan.split("FileScan")[1:] if "tokens" in x]
     assert any("doc_id" in x.split("PushedFilters: [")[1].split("]")[0] for x in scans) and all("ids" not in x.split("ReadSchema:")[1].split(">")[0] for x in scans)
+
+
+def test_repeated_spans(spark):
+    passage = "a passage of more than fifty bytes that stands in several of the documents, é too"
+    rows = [(1, f"first {passage} end"), (2, f"{passage}{passage}"), (3, f"x {passage} y {passage[:60]} z"), (4, "short"), (5, None)]
+    raw = {d: (t or "").encode() for d, t in rows}
+    got = {r.doc_id: list(zip(r.begins, r.ends)) for r in suffixdedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    want = {}
+    for d, b in raw.items():
+        gone = [any(b[i : i + 50] in raw[e] for e in raw if e < d for i in range(max(0, k - 49), min(k, len(b) - 50) + 1)) for k in range(len(b))]
+        spans = [k for k in range(len(b) + 1) if (k < len(b) and gone[k]) != (k > 0 and gone[k - 1])]
+        if spans:
+            want[d] = list(zip(spans[::2], spans[1::2]))
+    assert got == want and set(got) == {2, 3}
