@@ -167,7 +167,8 @@ def thresholds(counts: DataFrame, prior: int = PRIOR, min_sources: int = MIN_SOU
 def judge(counts: DataFrame) -> DataFrame:
     """counts with base_failed, kept and the ceilings that were applied. counts must be
     materialised: it is read for the sketches and again for the join."""
-    limits = thresholds(counts)
+    # Written, so that their size is known and the rows are not dealt out by source to meet them.
+    limits = materialize(thresholds(counts), "ceilings")
     ok = F.lit(True)
     for m in METRICS:
         ok = ok & (_ratio(m) <= F.col(f"__max_{m}"))
