@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .common import materialize, new_path, tokenizer_path
 from .encoder import LibraryCache, slices, worker_cache
 
+#: Rows of a batch of texts that goes to Python.
+BATCH_ROWS = 2500
 SCHEMA = "doc_id long, part int, place long, local_start long, n_tokens long, ids array<int>"
 
 
@@ -47,7 +49,18 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, end_id: int
                 at, place = at + int(ends[-1]), place + k
 
     d = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    (d.mapInArrow(run, SCHEMA).write
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    # Texts wait outside the heap in batches of this many rows.
+    conf.set(key, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        _write(d.mapInArrow(run, SCHEMA), out, row_group_mb, page_kb)
+    finally:
+        conf.set(key, before)
+
+
+def _write(d: DataFrame, out: str, row_group_mb: int, page_kb: int) -> None:
+    (d.write
         .option("compression", "zstd").option("parquet.writer.version", "v2")
         .option("parquet.enable.dictionary#ids.list.element", "true").option("parquet.enable.dictionary", "false")
         .option("parquet.block.size", row_group_mb << 20).option("parquet.page.size", page_kb << 10)
