@@ -73,13 +73,26 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(read(spark, sf_dir, "documents"))
 
 
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    w = settled(spark, "op12", lambda: whiten(read(spark, sf_dir, "embeddings"), components=16))
+    return w.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .markov import language_scores
+
+    return settled(spark, "op13", lambda: language_scores(read(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
     return run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_pack_curve, op2_secret_scan, op3_url_filter, op4_near_dup, op5_top_k, op6_quality_rules, op7_suffix_dedup, op8_bpe_trie, op9_token_store, op10_license_scan, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_pack_curve, op2_secret_scan, op3_url_filter, op4_near_dup, op5_top_k, op6_quality_rules, op7_suffix_dedup, op8_bpe_trie, op9_token_store, op10_license_scan, op12_whiten, op13_markov_scores, pipeline)}
 
 OP3_SQL = """
 WITH rules(verdict, host, path) AS (VALUES %s),
