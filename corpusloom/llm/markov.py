@@ -5,8 +5,8 @@
    others share a class by their length in bytes (up to SHORT). Within such a class a word has its
    share of the class's count, one added to each known word and once for all unknown ones. So every
    word has a probability that follows the counts of the whole corpus.
-3. Every text becomes a row of class numbers (``encoded``). The LISTED commonest words, a table of at
-   most LISTED * (KEY + 1) bytes, are looked up within the task; the others, by text and word, meet the
+3. Every text becomes a row of class numbers (``encoded``). The commonest words, LISTED at most and
+   LISTED * (KEY + 1) bytes, are looked up within the task; the others, by text and word, meet the
    counts in a join. A word of over KEY bytes is known by its digest.
 4. Baum-Welch: in each of ROUNDS rounds every task runs scaled forward and backward recursions over its
    texts, many at a time, and gives expected counts of emissions, transitions and starts; Spark sums
@@ -63,7 +63,7 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """(token, c) over the training texts. Tasks count before the shuffle, FLUSH words at a time."""
+    """(token, c) over the training texts. Tasks count before the shuffle, a bounded number of words at a time."""
     flush = 300_000
 
     def run(batches):
@@ -128,10 +128,19 @@ class Vocabulary:
 
 
 def vocabulary(counted: DataFrame) -> Vocabulary:
-    """What tasks need of a written table of counts; at most LISTED words come to the driver."""
+    """What tasks need of a written table of counts. How many words have a count (to ten significant
+    bits) tells from which count on there are LISTED words at most, and these come to the driver."""
     total, distinct = counted.agg(F.sum("c"), F.count("*")).first()
-    top = counted.orderBy(F.desc("c"), "token").limit(LISTED).collect()
-    words, of = [bytes(r["token"]) for r in top], [r["c"] for r in top]
+    low = F.greatest(F.length(F.bin("c")) - 10, F.lit(0))
+    levels = counted.withColumn("s", low).groupBy(F.expr("shiftleft(shiftright(c, s), s)").alias("c"))
+    least, seen = None, 0
+    for r in sorted(levels.agg(F.count("*").alias("k")).collect(), key=lambda r: -r["c"]):
+        seen += r["k"]
+        if seen > LISTED:
+            break
+        least = r["c"]
+    top = sorted(((-r["c"], bytes(r["token"])) for r in counted.where(F.col("c") >= least).collect()) if least else [])
+    words, of = [w for _, w in top], [-c for c, _ in top]
     # The shared classes: all words but the commonest, so sums over all less sums over those.
     n = F.least(F.length("token"), F.lit(SHORT))
     rest = [[0, 0] for _ in range(SHORT)]
