@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.stats import hash32
-from .ranking import even_buckets, number_rows
+from .ranking import number_rows, sampled_ranges
 
 # The generator's vocabulary.
 SINGULAR = "man woman boy girl student teacher doctor chef artist driver cat dog bird horse rabbit child parent friend neighbor worker player singer dancer writer reader".split()
@@ -23,9 +23,9 @@ def choice(seed: str, k: Column, n: int) -> Column:
 
 
 def exact_split(df: DataFrame, key: str, share: float = 0.9) -> DataFrame:
-    """``is_train`` for exactly int(share * n) rows, in hash order. Ranges of the hash are the
-    buckets of the numbering."""
-    d = even_buckets(df.withColumn("h", hash32(F.col(key))), F.col("h"), "bucket")
+    """``is_train`` for exactly int(share * n) rows, in hash order. Ranges of the hash and the
+    key are the buckets of the numbering."""
+    d = sampled_ranges(df.withColumn("h", hash32(F.col(key))), ["h", key], "bucket")
     ranked = number_rows(d, [], F.col("bucket"), ["h", key]).drop("bucket")
     n = df.agg(F.floor(F.count("*") * share).alias("n_train"))
     return ranked.join(F.broadcast(n)).withColumn("is_train", F.col("rn") <= F.col("n_train")).drop("n_train")

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .ranking import even_buckets, number_rows, running_sums
+from .ranking import null_safe_join, number_rows, running_sums, sampled_ranges
 
 #: Losses are summed as decimals, so a sum does not depend on the order of its parts.
 EXACT = "decimal(28,10)"
@@ -11,9 +11,10 @@ EXACT = "decimal(28,10)"
 
 def event_series(events: DataFrame) -> DataFrame:
     """(dataset, epoch, step, event_id, loss, bucket): the event stream as loss series, numbered per
-    dataset (W1). Buckets of time, as many as the number of rows asks for, bound what one task sorts."""
+    dataset (W1). Ranges of (ts, event_id), as many as the number of rows asks for, bound what one task
+    sorts; rows without a dataset are one of their own, rows without a time come first."""
     e = events.select(F.col("event_type").alias("dataset"), F.date_trunc("day", "ts").alias("epoch"), "ts", "event_id", F.col("value").alias("loss"))
-    e = even_buckets(e, F.unix_micros(F.col("ts").cast("timestamp")), "bucket")
+    e = sampled_ranges(e, ["ts", "event_id"], "bucket")
     return number_rows(e, ["dataset"], F.col("bucket"), ["ts", "event_id"], "step")
 
 
@@ -45,7 +46,7 @@ def best_so_far(s: DataFrame) -> DataFrame:
     per = s.groupBy("dataset", "bucket").agg(F.min("loss").alias("m"))
     before = per.select("dataset", "bucket", F.min("m").over(Window.partitionBy("dataset").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
     w = Window.partitionBy("dataset", "bucket").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    return s.withColumn("so_far", F.min("loss").over(w)).join(before, ["dataset", "bucket"]).withColumn("is_best", F.coalesce(F.col("loss") < F.least("so_far", "earlier"), F.lit(True))).drop("so_far", "earlier")
+    return null_safe_join(s.withColumn("so_far", F.min("loss").over(w)), before, ["dataset", "bucket"]).withColumn("is_best", F.coalesce(F.col("loss") < F.least("so_far", "earlier"), F.lit(True))).drop("so_far", "earlier")
 
 
 def normalised_axis(n: Column, most: Column, step: Column) -> Column:
