@@ -73,6 +73,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(read(spark, sf_dir, "documents"))
 
 
+def op11_sequenced_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sequencer import apply_changes
+
+    return settled(spark, "op11", lambda: apply_changes(read(spark, sf_dir, "client_changes")))
+
+
 def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .whitening import whiten
 
@@ -92,7 +98,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_pack_curve, op2_secret_scan, op3_url_filter, op4_near_dup, op5_top_k, op6_quality_rules, op7_suffix_dedup, op8_bpe_trie, op9_token_store, op10_license_scan, op12_whiten, op13_markov_scores, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_pack_curve, op2_secret_scan, op3_url_filter, op4_near_dup, op5_top_k, op6_quality_rules, op7_suffix_dedup, op8_bpe_trie, op9_token_store, op10_license_scan, op11_sequenced_changes, op12_whiten, op13_markov_scores, pipeline)}
 
 OP3_SQL = """
 WITH rules(verdict, host, path) AS (VALUES %s),
