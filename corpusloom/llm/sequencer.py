@@ -2,8 +2,8 @@
 
 Each client's changes carry numbers 1, 2, ...; they arrive out of order, twice or never. A change is
 held until all before it have been applied; when a gap lasts too long it is jumped. State is a map from
-pages to Arrow blobs: a page is PAGE numbers of one client, keyed by itself in Spark's state store, and
-holds the changes that wait there and their least day. First pages, which are all that most clients
+pages to Arrow blobs: a page is PAGE numbers of one client, keyed by itself in the session's state store, and
+holds the changes that wait there and their least day; pages without any are no state. First pages, which are all that most clients
 have, share a shelf of about SHELF clients. Only pages that get rows, or whose rows are released, are
 loaded; a huge client's pages lie in many tasks.
 
@@ -113,9 +113,9 @@ def _page_step(cell, frames, state):
     yield out[["cell", "kind", "key", "n", "last", "day", "change_id", "op", "city", "cents", "batch"]]
 
 
-def _started(session: SparkSession, folder: str, at: int) -> None:
+def _started(spark: SparkSession, folder: str, at: int) -> None:
     """Start the query on its checkpoint, let it take what has been written since, and end it."""
-    rows = session.readStream.schema(_IN).parquet(f"{folder}/in")
+    rows = spark.readStream.schema(_IN).parquet(f"{folder}/in")
     pages = rows.groupBy("cell").applyInPandasWithState(_page_step, _OUT, "held binary, min_day long", "append", GroupStateTimeout.NoTimeout)
     write = lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/out/{at}")
     q = pages.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
@@ -125,19 +125,6 @@ def _started(session: SparkSession, folder: str, at: int) -> None:
         q.stop()
 
 
-def _session(spark: SparkSession) -> SparkSession:
-    """A session for the streaming query: its state is in RocksDB, within bounds, and other threads'
-    settings stay as they are."""
-    s = spark.newSession()
-    for k in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
-        s.conf.set(k, spark.conf.get(k))
-    store = "spark.sql.streaming.stateStore."
-    s.conf.set(f"{store}providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    s.conf.set(f"{store}rocksdb.boundedMemoryUsage", "true")
-    s.conf.set(f"{store}rocksdb.maxMemoryUsageMB", "256")
-    return s
-
-
 def _pointers(runs: DataFrame, before: DataFrame, overdue: int | None) -> DataFrame:
     """(key, next, upto) of every client that has begun. ``upto`` is where its pointer stood after the
     batch, ``next`` where it stands at the next one's start: changes of days up to ``overdue`` don't wait."""
@@ -185,7 +172,7 @@ def apply_changes(changes: DataFrame, batches: int = 8, first_day: int = 19723,
     shelves = max(1, fed.agg(F.approx_count_distinct("key")).first()[0] // SHELF)
     page = F.floor(F.col("n") / PAGE)
     cell = F.when(page == 0, F.concat(F.lit("shelf "), F.pmod(F.xxhash64("key"), F.lit(shelves)).cast("string"))).otherwise(F.concat(F.lit("page "), page.cast("string"), F.lit(" of "), F.col("key")))
-    folder, session = new_path(spark, "stream"), _session(spark)
+    folder = new_path(spark, "stream")
     none = lambda kind: spark.createDataFrame([], kind)
     runs, pointers = none("cell string, key string, first long, last long, day long"), none("key string, next long, upto long")
     out = None
@@ -196,7 +183,7 @@ def apply_changes(changes: DataFrame, batches: int = 8, first_day: int = 19723,
         release = held.select("cell", "key", "next", "upto").distinct().select("cell", "key", F.lit(at).alias("at"), "next", "upto", *(F.lit(0).cast("long").alias(c) for c in ("n", "day", "change_id")), *(F.lit(None).cast("string").alias(c) for c in ("op", "city", "cents")))
         rows = fed.where(F.col("batch") == at).join(pointers, "key", "left").select(cell.alias("cell"), "key", F.lit(at).alias("at"), next_.alias("next"), upto.alias("upto"), "n", "day", "change_id", "op", "city", "cents")
         rows.unionByName(release).write.mode("append").parquet(f"{folder}/in")
-        _started(session, folder, at)
+        _started(spark, folder, at)
         said = spark.read.schema(_OUT).parquet(f"{folder}/out/{at}")
         out = said if out is None else out.unionByName(said)
         if final:
