@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.stats import hash32
+from .locate import two_level_draws
 from .ranking import number_rows, sampled_ranges
 
 # The generator's vocabulary.
@@ -37,16 +38,16 @@ def batches(split: DataFrame, size: int = 32) -> DataFrame:
 
 
 def two_level_sample(lines: DataFrame, file: str, key: str, draws: int, seed: str = "draw") -> DataFrame:
-    """For each draw a file, all alike, then a line of it, all alike, with replacement. Line
-    numbers come from buckets of ids, file numbers from one row per file."""
-    numbered = number_rows(lines.select(file, key), [file], F.floor(F.col(key) / 65536), [key], "line")
+    """For each draw a file, all alike, then a line of it, all alike, with replacement. Files have
+    a row each; lines are found by counts per bucket of keys (locate.two_level_draws), so only buckets
+    that are drawn are sorted."""
     sizes = lines.groupBy(file).agg(F.count("*").alias("n"))
     files = number_rows(sizes, [], F.lit(0), [file], "file_no")
     total = files.agg(F.count("*").alias("files"))
     d = lines.sparkSession.range(draws).withColumnRenamed("id", "draw").join(F.broadcast(total))
     d = d.withColumn("file_no", (hash32(F.concat(F.col("draw").cast("string"), F.lit(f"/{seed}-file"))) % F.col("files")) + 1).join(files, "file_no")
     d = d.withColumn("line", (hash32(F.concat(F.col("draw").cast("string"), F.lit(f"/{seed}-line"))) % F.col("n")) + 1)
-    return d.join(numbered, [file, "line"]).select("draw", file, key)
+    return two_level_draws(lines, file, key, d.select("draw", file, "line")).select("draw", file, key)
 
 
 def generated_sentences(spark: SparkSession, n: int) -> DataFrame:

@@ -57,7 +57,12 @@ def framed(ids: Column, n: Column, width: int = WIDTH) -> Column:
 def prefix_examples(lines: DataFrame, width: int = WIDTH, key: str = "doc_id") -> DataFrame:
     """V7, V8: every prefix of two or more ids with the id that follows. (key, i, input, target)."""
     at = lines.where(F.size("ids") > 1).select(key, "ids", F.explode(F.sequence(F.lit(1), F.size("ids") - 1)).alias("i"))
-    return at.select(key, "i", framed(F.col("ids"), F.col("i"), width).alias("input"), F.element_at("ids", F.col("i") + 1).alias("target"))
+    return example(at, width).select(key, "i", "input", "target")
+
+
+def example(at: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``ids`` and a prefix length ``i`` become the prefix's input and target."""
+    return at.withColumns({"input": framed(F.col("ids"), F.col("i"), width), "target": F.element_at("ids", F.col("i") + 1)}).drop("ids")
 
 
 def prefix_sums(ids: Column) -> tuple[Column, Column, Column]:

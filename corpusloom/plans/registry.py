@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import stats as S, text as X
-from ..operators import ranking, sampling, segment, series, summary, tokens
+from ..operators import locate, permute, ranking, sampling, segment, series, summary, tokens
 from ..sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -275,6 +275,19 @@ def v11(spark, d):
     return c.select("doc_id", F.col("cut").cast("long").alias("cut"), y.cast("int").alias("target"), tokens.non_pad(x).alias("n_input"))
 
 
+@query("v10_drawn_examples", f"""WITH {_VOCAB}, x AS (SELECT doc_id, ids, greatest(len(ids) - 1, 0) AS n, coalesce(sum(greatest(len(ids) - 1, 0)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM enc),
+d AS (SELECT doc_id AS draw, {_H("doc_id::VARCHAR || '/example'")} % (SELECT sum(n)::BIGINT FROM x) AS number FROM documents)
+SELECT draw, number::BIGINT AS number, x.doc_id, (number - first + 1)::INTEGER AS i, {_FRAME('ids[1 : (number - first + 1)::INTEGER]', '(number - first + 1)')} AS input, ids[(number - first + 2)::INTEGER] AS target FROM d JOIN x ON number >= first AND number < first + n""")
+def v10(spark, d):
+    """As many examples as there are lines, drawn by number from all examples of all lines."""
+    e = _encoded(spark, d)
+    index = locate.example_index(e, "doc_id", F.greatest(F.size("ids") - 1, F.lit(0)))
+    total = index.agg(F.sum("n").alias("total"))
+    draws = docs(spark, d).select(F.col("doc_id").alias("draw")).join(F.broadcast(total)).select("draw", (S.hash32(F.concat(F.col("draw").cast("string"), F.lit("/example"))) % F.col("total")).alias("number"))
+    at = tokens.example(locate.examples_at(draws, "number", index, e, "doc_id").select("draw", "number", "doc_id", "i", "ids"))
+    return at.withColumn("input", F.array_join(F.col("input").cast("array<string>"), ","))
+
+
 @query("v13_non_pad", f"WITH {_VOCAB} SELECT doc_id, least(len(ids), 128)::INTEGER AS n_tokens FROM enc")
 def v13(spark, d):
     return _encoded(spark, d).select("doc_id", tokens.non_pad(tokens.framed(F.col("ids"), F.size("ids"))).alias("n_tokens"))
@@ -568,6 +581,20 @@ def r2(spark, d):
     return sampling.batches(sampling.exact_split(docs(spark, d).select("doc_id"), "doc_id")).select("doc_id", "batch")
 
 
+_MIX = lambda x, k: _H(f"({x})::VARCHAR || '/epoch-' || epoch || '/{k}'")
+_PASS = f"""SELECT doc_id, epoch, n, a, b, l3 * b + (r1 + {_MIX('l3', 3)}) % b AS x FROM (SELECT *, (l1 + {_MIX('r1', 2)}) % a AS l3 FROM (
+ SELECT *, (x % b + {_MIX('l1', 1)}) % b AS r1 FROM (SELECT *, (x // b + {_MIX('x % b', 0)}) % a AS l1 FROM"""
+
+
+@query("r2_epoch_batches", _SPLIT_SQL.replace("WITH", "WITH RECURSIVE", 1) + f""", t AS (SELECT count(*) AS n, floor(sqrt(count(*) - 1))::BIGINT + 1 AS a FROM documents),
+q AS (SELECT doc_id, epoch, n, a, (n + a - 1) // a AS b, rn - 1 AS x FROM r, t, (VALUES (1), (2), (3)) e(epoch)),
+w AS ({_PASS} q))) UNION ALL {_PASS} w WHERE x >= n))))
+SELECT epoch::INTEGER AS epoch, doc_id, (x // 32)::BIGINT AS batch FROM w WHERE x < n""")
+def r2_epochs(spark, d):
+    split = sampling.exact_split(docs(spark, d).select("doc_id"), "doc_id")
+    return permute.epoch_batches(split, docs(spark, d).count(), 3).select("epoch", "doc_id", "batch")
+
+
 @query("r3_two_level_sample", f"""WITH n AS (SELECT source, count(*) AS n, row_number() OVER (ORDER BY source) AS file_no FROM documents GROUP BY source), f AS (SELECT count(*) AS files FROM n),
 l AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS line FROM documents),
 d AS (SELECT range AS draw, {_H("range::VARCHAR || '/draw-file'")} % files + 1 AS file_no, {_H("range::VARCHAR || '/draw-line'")} AS h FROM range(1000), f)
@@ -618,12 +645,33 @@ def g4(spark, d):
     return s.select("dataset", F.expr("stack(2, 'final', final_loss, 'min', min_loss) as (bar, value)"))
 
 
-@query("t3_save_points", _SERIES.replace("WITH", "WITH RECURSIVE", 1) + """, e AS (SELECT dataset, step, (floor(epoch(ts))::BIGINT % 86400)::DOUBLE AS elapsed FROM s), f AS (
+_SAVE_POINTS = _SERIES.replace("WITH", "WITH RECURSIVE", 1) + """, e AS (SELECT dataset, step, (floor(epoch(ts))::BIGINT % 86400)::DOUBLE AS elapsed FROM s), f AS (
 SELECT dataset, step, elapsed, elapsed >= 3600 AS due, CASE WHEN elapsed >= 3600 THEN elapsed ELSE 0 END AS last FROM e WHERE step = 1 UNION ALL
 SELECT e.dataset, e.step, e.elapsed, e.step % 100 = 0 OR e.elapsed - f.last >= 3600, CASE WHEN e.step % 100 = 0 OR e.elapsed - f.last >= 3600 THEN e.elapsed ELSE f.last END FROM f JOIN e ON e.dataset = f.dataset AND e.step = f.step + 1)
-SELECT dataset, step, elapsed FROM f WHERE due""")
+SELECT dataset, step, elapsed FROM f WHERE due"""
+
+
+@query("t3_save_points", _SAVE_POINTS)
 def t3(spark, d):
     from ..streaming.perturb import save_points
 
     s = _series(spark, d)
     return save_points(s.select("dataset", "step", (F.unix_timestamp("ts") % 86400).cast("double").alias("elapsed")), seconds=3600.0)
+
+
+@query("t3_streamed_save_points", _SAVE_POINTS)
+def t3_streamed(spark, d):
+    """The same from steps that arrive in three parts, the query starting anew for each."""
+    from ..sources.shared import new_folder
+    from ..streaming.save_points import start_save_points
+
+    at = new_folder(spark, "t3")
+    s = _series(spark, d).select("dataset", "step", (F.unix_timestamp("ts") % 86400).cast("double").alias("elapsed"))
+    s.write.parquet(f"{at}/steps")
+    s = spark.read.parquet(f"{at}/steps")
+    most = s.agg(F.max("step")).first()[0] or 0
+    part = F.floor((F.col("step") - 1) * 3 / max(most, 1))
+    for k in range(3):
+        s.where(part == k).write.mode("append").parquet(f"{at}/in")
+        start_save_points(spark, f"{at}/in", f"{at}/out", f"{at}/checkpoint", seconds=3600.0).awaitTermination()
+    return spark.read.schema("dataset string, step long, elapsed double").parquet(f"{at}/out")
