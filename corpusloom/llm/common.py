@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
@@ -11,17 +12,24 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 #: Words of the contracts: runs of anything but space and \\t..\\r (what bytes.split() splits on).
 WORD = r"[^\x20\x09-\x0D]+"
 
-_listeners: list[list[str]] = []
+_heard = threading.local()
+
+
+def _listeners() -> list[list[str]]:
+    """Of this thread: queries in other threads have tables of their own."""
+    if not hasattr(_heard, "lists"):
+        _heard.lists = []
+    return _heard.lists
 
 
 @contextmanager
 def made(into: list[str]):
-    """Note in ``into`` the paths of the tables written meanwhile."""
-    _listeners.append(into)
+    """Note in ``into`` the paths of the tables that this thread writes meanwhile."""
+    _listeners().append(into)
     try:
         yield into
     finally:
-        _listeners.remove(into)
+        _listeners().pop()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,7 +47,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
-    for x in _listeners:
+    for x in _listeners():
         x.append(path)
     return path
 

@@ -15,7 +15,8 @@ threshold go, the others are scored exactly in integers. Bounds carry a margin a
 Defined cases: vectors that are null, or hold null or non-finite components, take no part; shorter
 vectors count as padded with zeros; rows with the same vec_id are separate candidates, only a
 query's own row is left out; ties go to the smaller vec_id; fewer than k other rows give fewer
-results; scores beyond the range of a long are cut to it; rows with a null vec_id take no part; an
+results; scaled components beyond the range of a double are held at its ends, and scores beyond the
+range of a long are cut to it; rows with a null vec_id take no part; an
 empty table gives an empty result; a very long vector makes its block as much larger; extra columns,
 whatever their names, are ignored.
 """
@@ -26,6 +27,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import materialize
 
 FIT_ROWS, LEADING, BLOCK, QUERY_BLOCK, STEP = 4096, 16, 4096, 512, 512
+#: The largest double: scaled components and lengths beyond it are held there.
+FAR = 1.7976931348623157e308
 #: Levels of block lengths to a doubling.
 LEVELS = 16
 #: Shares of the blocks, from the longest on, at which a round ends; query blocks sent together.
@@ -48,8 +51,13 @@ def integers(vectors: DataFrame, scale: int) -> DataFrame:
                     continue
                 x = np.array(e, np.float64)
                 if np.isfinite(x).all():
-                    x = np.floor(scale * x)
-                    out.append((row, i, float(np.sqrt((x * x).sum())), len(x), x.tobytes()))
+                    with np.errstate(over="ignore"):
+                        x = np.clip(np.floor(scale * x), -FAR, FAR)
+                        norm = np.sqrt((x * x).sum())
+                        if norm > FAR:  # squares overflow before the length does
+                            most = np.abs(x).max()
+                            norm = min(most * np.sqrt(((x / most) ** 2).sum()), FAR)
+                    out.append((row, i, float(norm), len(x), x.tobytes()))
             cols = list(zip(*out)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.binary()])], names=["row", "vec_id", "norm", "dim", "v"])
 
@@ -63,7 +71,8 @@ def rotation(stored: DataFrame, dim: int):
     sample = stored.select("v").orderBy(F.xxhash64("vec_id"), "row").limit(FIT_ROWS).collect()
     if not sample or not dim:
         return np.eye(max(dim, 1))
-    return np.linalg.svd(matrix([r["v"] for r in sample], dim), full_matrices=True)[2].T
+    m = matrix([r["v"] for r in sample], dim)
+    return np.linalg.svd(m / max(1.0, np.abs(m).max()), full_matrices=True)[2].T
 
 
 def matrix(rows: list[bytes], dim: int):
@@ -116,7 +125,8 @@ def search(queries, candidates, turn, k: int, floor):
 
     qrow, _, q = queries
     crow, cid, c = candidates
-    exact = q.dtype != object and (np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * q.shape[1]) < 2.0**53
+    with np.errstate(over="ignore"):
+        exact = q.dtype != object and (np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * q.shape[1]) < 2.0**53
     if not exact:
         q, c = (np.array([[int(x) for x in r] for r in m.tolist()], object).reshape(m.shape) for m in (q, c))
         most, least = (1 << 63) - 1, -(1 << 63)
