@@ -281,14 +281,16 @@ SPDX_IDS = (r"0bsd|afl-(?:1\.[12]|2\.[01]|3\.0)|agpl-[13](?:\.0)?|apache-(?:1\.[
 
 def rules() -> list[tuple[str, str, str, float]]:
     """(keyword, regex, label, weight) in the order of priority."""
-    gap = "[^a-z0-9]{1,8}"
+    # A gap is any run of other characters. No two gaps stand side by side, so that a long run is not
+    # tried in every split.
+    gap = "[^a-z0-9]+"
     out, weight = [], 0.0
     for line in SIGNATURES.strip().splitlines():
         if line.startswith("# "):
             weight = float(line.split()[1])
             continue
         label, keyword, p = line.split("|", 2)
-        p = p.replace("LIC", "licen[cs]e").replace(" ?", "[^a-z0-9]{0,3}").replace(" ", gap)
-        p = p.replace("V", "[^a-z0-9]{0,4}(?:version|ver|v)?[^a-z0-9]{0,3}").replace("I", "[^a-z0-9]{1,4}(?:international[^a-z0-9]{1,3})?(?:version|v)?[^a-z0-9]{0,3}").replace("E", "(?![0-9.]*[0-9])")
+        p = p.replace("LIC", "licen[cs]e").replace(" ?", "[^a-z0-9]*").replace(" ", gap)
+        p = p.replace("V", "(?:[^a-z0-9]*(?:version|ver|v))?[^a-z0-9]*").replace("I", "[^a-z0-9]+(?:international[^a-z0-9]+)?(?:(?:version|v)[^a-z0-9]*)?").replace("E", "(?![0-9.]*[0-9])")
         out.append((keyword, p if p.startswith(r"\b") else rf"\b(?:{p})", label, weight))
     return out

@@ -28,9 +28,10 @@ _SEP = f"[{_GAP}]+"
 # The base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: An SPDX tag with its license expression, and an identifier in it.
-_ID = r"[a-z0-9][a-z0-9.+-]{0,60}"
-SPDX_TAG = rf"\bspdx-license-identifier:\s{{0,4}}[( ]{{0,4}}{_ID}(?:[) ]{{0,4}}[ ](?:or|and|with)[ ][( ]{{0,4}}{_ID}){{0,12}}"
+#: An SPDX tag with its license expression (of up to 1,001 identifiers: the regex engine takes a frame
+#: of the stack for each), and an identifier in it.
+_ID = r"[a-z0-9][a-z0-9.+-]*+"
+SPDX_TAG = rf"\bspdx-license-identifier:[\s(]*+{_ID}(?:[\s)]*\s(?:or|and|with)\s[\s(]*+{_ID}){{0,1000}}"
 
 
 def base_regex(phrase: str | None = None) -> str:
@@ -84,7 +85,7 @@ def gates() -> list[tuple[str, ...]]:
 
 def gated(text: Column) -> Column:
     """Whether some rule may fit the lower-cased text."""
-    gate = F.contains(text, F.lit("cc")) & text.rlike(r"\bcc[^a-z0-9]{1,8}by")
+    gate = F.contains(text, F.lit("cc")) & text.rlike(r"\bcc[^a-z0-9]+by")
     for words in reversed(gates()):
         some = F.contains(text, F.lit(words[0]))
         for w in words[1:]:
