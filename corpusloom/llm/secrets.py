@@ -1,8 +1,10 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a private key block; the value of an assignment to a name such as ``password`` (spaces
-and quotes around the sign allowed, eight characters or more); or a run of at least LEAST key
-characters with a digit in it. Its features are length, character transitions and spread, dictionary
+A candidate is a private key block (PGP's too); the value of an assignment to a name such as
+``password`` (``=``, ``:``, ``:=`` or ``=>``, blanks of any length and quotes around it, an
+authorization scheme before the value, eight characters or more); the password of a URL
+(``scheme://user:password@``, four characters or more); or a run of at least LEAST key characters with
+a digit in it. Its features are length, character transitions and spread, dictionary
 coverage, path marks around it, and the words beside it. A random forest trained on labelled findings
 gives the probability of a real secret. The trained trees are turned into one nested CASE expression,
 so that scoring, like the search, is a DataFrame expression evaluated row by row: nothing is
@@ -12,7 +14,7 @@ Training uses ``MAX_TRAIN`` labelled findings at most (a documented bound; those
 without a table of such findings the forest is trained on findings labelled by hand
 (`labelled_findings`), each counted HAND times, and on variations made by rule (`generated_findings`).
 
-Defined cases: null and empty texts have no candidates; candidates don't overlap, and where several
+Defined cases: null and empty texts have no candidates; a null doc_id's findings carry null; candidates don't overlap, and where several
 could begin the order above decides; a probability equal to the threshold is a secret; repeated rows
 each give their findings; a very long text is scanned whole, in one task, in time linear in its
 candidates; an empty table gives an empty result; extra columns, whatever their names, are ignored by
@@ -35,13 +37,19 @@ PLAIN_VALUES = "required everything available authentication something wonderful
 WORDS = "the and for that with this from have not are was you all new can has more will home about page free time site news info contact data user name example test sample key your here changeme default value string number file image index html http www com org version release build config server client local admin login public static assets lib node module package report final draft section chapter item order invoice model series".split()
 
 KEY = "[A-Za-z0-9+/_-]"
-ASSIGNED = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
-#: An assigned value, up to the closing quote where it is quoted, or else a key-like run of LEAST
-#: characters or more with a digit, not inside a longer run. The short lookbehind spares most
-#: places the long one.
-CANDIDATE = (r"-----BEGIN (?:[A-Z]{1,12} ){0,3}PRIVATE KEY-----[A-Za-z0-9+/=:,\s-]{16,}?-----END (?:[A-Z]{1,12} ){0,3}PRIVATE KEY-----"
-             rf"|(?<=[=:]\s{{0,3}}[\"']?)(?=[^\s\"'])(?<={ASSIGNED})(?:(?<=\")[^\s\"]{{8,}}+(?=\")|(?<=')[^\s']{{8,}}+(?=')|[^\s\"',;<>]{{8,}}+)"
-             rf"|(?<!{KEY})(?=[A-Za-z+/_-]*+[0-9]){KEY}{{{LEAST},}}+={{0,2}}")
+#: Ends of names whose values are candidates. The short ones count as whole words only.
+NAMED = r"(?i:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|authorization|credentials?|signature|(?<![a-z])(?:pass|auth|bearer|key))"
+SIGN = r"[\"']?\s*+(?>=>|:=|[=:])\s*+[\"']?(?:(?i:bearer|basic)\s++)?"
+#: A match may begin with what leads to the value: from the end of a name on (a name may end a key run
+#: that is a candidate itself, so it is looked back at and a run that ends in one leaves the sign), or
+#: a URL's user. LEAD takes it off. The short lookarounds spare most places the long ones.
+LEAD = r"^(?:[\"']?\s*(?:=>|:=|[=:])\s*[\"']?(?:(?i:bearer|basic)\s+)?|//[^:]*:)"
+#: An assigned value, up to the closing quote where it is quoted, a URL's password, or else a key-like
+#: run of LEAST characters or more with a digit, not inside a longer run.
+CANDIDATE = (r"-----BEGIN [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----[A-Za-z0-9+/=:,.()\s-]{16,}?-----END [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----"
+             rf"|(?<=[A-Za-z])(?=[\"']?\s*+[=:])(?<={NAMED}){SIGN}(?=[^\s\"'])(?:(?<=\")[^\s\"]{{8,}}+(?=\")|(?<=')[^\s']{{8,}}+(?=')|[^\s\"',;<>]{{8,}}+)"
+             r"|(?<=[A-Za-z0-9]:)//[^\s:/?#@\"'<>]*+:[^\s/?#@\"'<>]{4,}+(?=@)"
+             rf"|(?<!{KEY})(?=[A-Za-z+/_-]*+[0-9]){KEY}{{{LEAST},}}+(?:(?<!{NAMED})={{1,2}})?")
 
 FEATURES = ["length", "transitions", "spread", "digits", "upper", "hexadecimal", "dictionary", "slashes", "separators", "path", "secret_near", "public_near", "assigned", "quoted", "known_prefix", "repeats", "consonants"]
 
@@ -67,7 +75,7 @@ def features(c: Column, before: Column, after: Column) -> dict[str, Column]:
         "path": num(edge.rlike(r"[/\\.?&#]$|://\S*$") | after.rlike(r"^(?:[/\\]|\.[a-z]{2,4}\b)")),
         "secret_near": num(edge.rlike(_any(SECRET_NAMES))),
         "public_near": num(edge.rlike(_any(PUBLIC_NAMES)) | after.rlike("^.{0,3}" + _any(PUBLIC_NAMES))),
-        "assigned": num(edge.rlike(r"[=:]\s{0,3}[\"']?$")), "quoted": num(edge.rlike("[\"']$") & after.rlike("^[\"']")),
+        "assigned": num(edge.rlike(r"(?:[=:]|=>)\s*[\"']?(?:(?i:bearer|basic)\s+)?$")), "quoted": num(edge.rlike("[\"']$") & after.rlike("^[\"']")),
         "known_prefix": num(c.rlike(r"^(?:AKIA|ASIA|gh[pousr]_|sk_live_|sk-|xox[baprs]-|AIza|eyJ|glpat-|-----BEGIN )")),
         "repeats": share(r"(.)(?!\1)"),
         "consonants": 1 - F.length(F.regexp_replace(F.lower(c), "[bcdfghjklmnpqrstvwxz]{4,}", "")) / n,
@@ -83,8 +91,8 @@ def generated_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     plain = ["over", "the report with", "una parte de", "und der", "in this section", "est dans la", "left the house", ""]
     upper = F.upper(F.translate(h(3), "0123456789", "QZ2WJ4K567"))
     word = F.concat_ws("_", pick(20, WORDS), pick(21, WORDS), pick(22, WORDS), F.pmod("id", F.lit(2031)).cast("string"))
-    name, public = pick(30, ["password", "token", "secret", "api_key", "client_secret", "passwd", "auth token"]), pick(31, ["commit", "sha256", "md5", "checksum", "digest", "uuid", "revision", "image"])
-    sign = pick(32, ["=", " = \"", ": ", ":", "=\"", "='", " = "])
+    name, public = pick(30, ["password", "token", "secret", "api_key", "client_secret", "passwd", "auth token", "passphrase", "DB_PASSWORD", "credentials"]), pick(31, ["commit", "sha256", "md5", "checksum", "digest", "uuid", "revision", "image"])
+    sign = pick(32, ["=", " = \"", ": ", ":", "=\"", "='", " = ", "      = ", " => '", ":\t\t\""])
     close = F.when(sign.endswith("\""), "\"").when(sign.endswith("'"), "'").otherwise("")
     rest = F.concat(close, F.lit(" "), pick(33, plain))
     kinds = [  # before, candidate, after, label
@@ -118,6 +126,14 @@ def generated_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
         (F.concat(pick(1, plain), F.lit(" "), name, pick(62, [" = ", "=", ": "])), code, pick(63, ["[\"X\"]", "()", " ", ")"]), 0),
         (F.concat(pick(1, plain), F.lit(" "), name, pick(64, [": ", "=", " = \""])), F.concat(F.lit("https://www."), pick(65, WORDS), F.lit(".org/"), pick(66, WORDS)), F.concat(F.lit(" "), pick(2, plain)), 0),
     ]
+    scheme, user, host = pick(71, ["postgres", "mongodb", "redis", "amqp", "https", "ftp", "mysql"]), pick(72, ["admin", "root", "app", "deploy", "reader", ""]), pick(73, ["db.example.com/main", "10.0.0.7:5432", "localhost/", "cache:6379/0"])
+    login = F.concat(pick(1, plain), F.lit(" "), scheme, F.lit("://"), user, F.lit(":"))
+    kinds += [  # passwords of URLs, values after an authorization's scheme
+        (login, F.concat(F.initcap(F.substring(letters, 1, 7)), F.pmod("id", F.lit(89)).cast("string"), pick(74, ["!", "", "x"])), F.concat(F.lit("@"), host), 1),
+        (login, F.substring(b64(75), 1, 14), F.concat(F.lit("@"), host), 1),
+        (login, pick(76, ["password", "changeme", "example", "your_password", "xxxx", "${DB_PASS}", "%s"]), F.concat(F.lit("@"), host), 0),
+        (F.concat(pick(1, plain), F.lit(" "), pick(77, ["Authorization: Bearer ", "authorization: Basic ", "\"Authorization\": \"Bearer "])), F.when(F.pmod("id", F.lit(2)) == 0, F.substring(letters, 1, 22)).otherwise(b64(78)), F.concat(F.lit(" "), pick(2, plain)), 1),
+    ]
     which = F.pmod("id", F.lit(len(kinds)))
     return (spark.range(0, n, 1, 1).select(F.element_at(F.array(*(F.struct(b.alias("before"), c.alias("candidate"), a.alias("after"), F.lit(y).alias("label")) for b, c, a, y in kinds)), (which + 1).cast("int")).alias("x")).select("x.*"))
 
@@ -158,13 +174,19 @@ def forest_expression(model, value) -> Column:
 
 
 def findings(text: Column, model) -> Column:
-    """array<struct<start, end, match, before, after, probability>> of the candidates of a text."""
+    """array<struct<start, end, match, before, after, lead, probability>> of the candidates of a text;
+    lead is what stands before the value within the pattern's match."""
+    def value(x):
+        v = F.regexp_replace(x["match"], LEAD, "")
+        lead = F.left(x["match"], F.length(x["match"]) - F.length(v))
+        return F.struct((x["start"] + F.length(lead)).alias("start"), x["end"].alias("end"), v.alias("match"), F.right(F.concat(x["before"], F.regexp_replace(lead, r"\s+", " ")), F.lit(CONTEXT)).alias("before"), x["after"].alias("after"), lead.alias("lead"))
+
     def scored(x):
         f = features(x["match"], x["before"], x["after"])
         return F.struct(x.alias("x"), F.struct(*(f[k].alias(k) for k in FEATURES)).alias("f"))
 
-    c = F.transform(match_spans(text, F.lit(CANDIDATE), CONTEXT), scored)
-    c = F.transform(c, lambda y: F.struct(y["x"]["start"].alias("start"), y["x"]["end"].alias("end"), y["x"]["match"].alias("match"), y["x"]["before"].alias("before"), y["x"]["after"].alias("after"), forest_expression(model, lambda k: y["f"][k]).alias("probability")))
+    c = F.transform(F.transform(match_spans(text, F.lit(CANDIDATE), CONTEXT), value), scored)
+    c = F.transform(c, lambda y: F.struct(y["x"]["start"].alias("start"), y["x"]["end"].alias("end"), y["x"]["match"].alias("match"), y["x"]["before"].alias("before"), y["x"]["after"].alias("after"), y["x"]["lead"].alias("lead"), forest_expression(model, lambda k: y["f"][k]).alias("probability")))
     return F.when(text.rlike(CANDIDATE), c)
 
 
@@ -180,6 +202,6 @@ def redact(docs: DataFrame, labelled: DataFrame | None = None, threshold: float
     """docs with every secret in text replaced by ``mark``; other texts are left as they are."""
     model = train(labelled if labelled is not None else default_findings(docs.sparkSession))
     text = F.col("text")
-    shown = F.transform(findings(text, model), lambda x: F.when(x["probability"] >= threshold, F.lit(mark)).otherwise(x["match"]))
+    shown = F.transform(findings(text, model), lambda x: F.concat(x["lead"], F.when(x["probability"] >= threshold, F.lit(mark)).otherwise(x["match"])))
     done = F.array_join(F.zip_with(F.split(text, CANDIDATE, -1), shown, lambda a, m: F.concat(a, F.coalesce(m, F.lit("")))), "")
     return docs.withColumn("text", F.when(text.rlike(CANDIDATE), done).otherwise(text))
