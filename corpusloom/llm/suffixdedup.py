@@ -88,24 +88,20 @@ def anchors(raw: bytes, starts, length: int):
     new[0] = True
     new[1:] = (low[1:] != low[:-1]) | (ok[1:] != ok[:-1])
     new[starts[1:-1][starts[1:-1] < len(low)]] = True
+    # A place that is its own window's anchor ends the windows that it serves; the windows after a
+    # run's last such place have theirs beyond the run.
+    own = h[: len(low)] == low
+    new[1:] |= own[:-1]
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(low)) - 1
     keep = ok[first]
     first, last = first[keep], last[keep]
-    out = []
+    at, beyond = last.copy(), np.flatnonzero(~own[last])
     view = np.lib.stride_tricks.sliding_window_view(h, wide)
-    while len(first):
-        at = np.empty(len(first), np.int64)
-        for k in range(0, len(first), 1 << 15):
-            f = first[k : k + (1 << 15)]
-            at[k : k + (1 << 15)] = f + (view[f] == low[f][:, None]).argmax(1)
-        end = np.minimum(last, at)
-        out.append((at, first, end))
-        more = last > at  # the same value again further on
-        first, last = at[more] + 1, last[more]
-    at, first, last = (np.concatenate(x) for x in zip(*out)) if out else none[:3]
-    o = np.argsort(first, kind="stable")
-    return at[o], first[o], last[o], h[at[o]]
+    for k in range(0, len(beyond), 1 << 15):
+        f = first[beyond[k : k + (1 << 15)]]
+        at[beyond[k : k + (1 << 15)]] = f + (view[f] == low[f][:, None]).argmax(1)
+    return at, first, last, h[at]
 
 
 def _keys(raw: bytes, at, salt):
