@@ -52,3 +52,38 @@ def two_level_draws(lines: DataFrame, file: str, key: str, draws: DataFrame, siz
     few = null_safe_join(rows, wanted, [file, "__bucket"], "left_semi")
     placed = few.withColumn("__place", F.row_number().over(Window.partitionBy(file, "__bucket").orderBy(key)).cast("long"))
     return null_safe_join(found, placed, [file, "__bucket", "__place"]).drop("__bucket", "__place")
+
+
+def first_lines(lines: DataFrame, file: str, key: str, most: int, size: int = 65_536) -> DataFrame:
+    """The first ``most`` rows in order of (file, key), nulls first, as a filter. Counts per (file,
+    bucket of keys) tell which bucket the cap cuts; files and buckets before it are whole, later ones are
+    ruled out by literals that reach the scan, and only the cut bucket's keys are sorted: ``size`` rows
+    where keys are dense. Of rows that tie at the cut any stay; fewer rows than ``most`` stay all."""
+    bucket = F.floor(F.col(key) / size)
+    counts = lines.groupBy(file, bucket.alias("__bucket")).agg(F.count("*").alias("__n"))
+    first = running_offsets(sampled_ranges(counts, [file, "__bucket"], "__range"), [], F.col("__range"), [file, "__bucket"], F.col("__n"), "__first")
+    cut = first.where((F.col("__first") < most) & (F.col("__first") + F.col("__n") > most)).first()
+    if cut is None:  # the cap falls between two buckets, or beyond them all
+        last = first.where(F.col("__first") + F.col("__n") == most).first()
+        if last is None:
+            return lines if most > 0 else lines.limit(0)
+        return lines.where(_before(file, last[file]) | (_same(file, last[file]) & (_before(key, last["__bucket"], size) | _within(key, last["__bucket"], size))))
+    here, b = _same(file, cut[file]), cut["__bucket"]
+    whole = lines.where(_before(file, cut[file]) | (here & _before(key, b, size)))
+    # At most one bucket's rows: one task sorts them.
+    return whole.unionByName(lines.where(here & _within(key, b, size)).orderBy(F.asc_nulls_first(key)).limit(most - cut["__first"]))
+
+
+def _before(column: str, value, size: int | None = None) -> Column:
+    """Rows before a value, or before the bucket of that number, in an ascending order with nulls first."""
+    if value is None:
+        return F.lit(False)
+    return F.col(column).isNull() | (F.col(column) < (value if size is None else value * size))
+
+
+def _same(column: str, value) -> Column:
+    return F.col(column).isNull() if value is None else F.col(column) == F.lit(value)
+
+
+def _within(key: str, bucket: int | None, size: int) -> Column:
+    return F.col(key).isNull() if bucket is None else (F.col(key) >= bucket * size) & (F.col(key) < (bucket + 1) * size)

@@ -73,18 +73,14 @@ def s6(spark, d):
 @query("s9_token_blocks", f"""WITH t AS (SELECT doc_id, unnest(range(len(w))) AS pos, unnest(w) AS token FROM (SELECT doc_id, {_WORDS('text')} AS w FROM documents))
 SELECT doc_id, (pos // 128)::BIGINT AS block, array_to_string(list(token ORDER BY pos), ' ') AS tokens FROM t GROUP BY 1, 2 HAVING count(*) = 128""")
 def s9(spark, d):
-    t = docs(spark, d).select("doc_id", F.posexplode(X.words(F.col("text"))).alias("pos", "token"))
-    return tokens.blocks(t, "doc_id").select("doc_id", "block", F.array_join("tokens", " ").alias("tokens"))
+    return tokens.document_blocks(docs(spark, d), "doc_id", X.words(F.col("text"))).select("doc_id", "block", F.array_join("tokens", " ").alias("tokens"))
 
 
 @query("s9_file_blocks", f"""WITH t AS (SELECT source, token, row_number() OVER (PARTITION BY source ORDER BY doc_id, p) - 1 AS pos
   FROM (SELECT source, doc_id, unnest(range(len(w))) AS p, unnest(w) AS token FROM (SELECT source, doc_id, {_WORDS('text')} AS w FROM documents)))
 SELECT source, (pos // 128)::BIGINT AS block, array_to_string(list(token ORDER BY pos), ' ') AS tokens FROM t GROUP BY 1, 2 HAVING count(*) = 128""")
 def s9_files(spark, d):
-    w = docs(spark, d).select("source", "doc_id", X.words(F.col("text")).alias("words"))
-    w = ranking.running_offsets(w, ["source"], F.floor(F.col("doc_id") / 4096), ["doc_id"], F.size("words"))
-    t = w.select("source", "offset", F.posexplode("words").alias("at", "token")).select("source", (F.col("offset") + F.col("at")).alias("pos"), "token")
-    return tokens.blocks(t, "source").select("source", "block", F.array_join("tokens", " ").alias("tokens"))
+    return tokens.file_blocks(docs(spark, d), "source", "doc_id", "text", X.words).select("source", "block", F.array_join("tokens", " ").alias("tokens"))
 
 
 _PICK = lambda seed, xs: f"(list_value({', '.join(repr(x) for x in xs)}))[{_H('k || ' + repr('/' + seed))} % {len(xs)} + 1]"
@@ -218,12 +214,12 @@ def v2(spark, d):
 
 @query("v3_capped_frequencies", f"SELECT token, count(*) AS freq FROM (SELECT unnest({_CHARS('text')}) AS token FROM (SELECT * FROM documents ORDER BY source, doc_id LIMIT 500)) GROUP BY token")
 def v3(spark, d):
-    return tokens.frequencies(docs(spark, d).orderBy("source", "doc_id").limit(500))
+    return tokens.frequencies(locate.first_lines(docs(spark, d).select("source", "doc_id", "text"), "source", "doc_id", 500))
 
 
 @query("v3_reference_cap", f"SELECT token, count(*) AS freq FROM (SELECT unnest({_CHARS('text')}) AS token FROM (SELECT * FROM documents ORDER BY source, doc_id LIMIT 100000)) GROUP BY token")
 def v3_reference(spark, d):
-    return tokens.frequencies(docs(spark, d).orderBy("source", "doc_id").limit(100_000))
+    return tokens.frequencies(locate.first_lines(docs(spark, d).select("source", "doc_id", "text"), "source", "doc_id", 100_000))
 
 
 @query("v4_vocabulary", f"WITH {_VOCAB} SELECT token, id FROM vocab UNION ALL SELECT '<PAD>', 0 UNION ALL SELECT '<UNK>', 1")
@@ -555,12 +551,12 @@ def o4(spark, d):
 
 @query("o5_line_cap", "SELECT source, doc_id FROM documents ORDER BY source, doc_id LIMIT 200")
 def o5(spark, d):
-    return docs(spark, d).select("source", "doc_id").orderBy("source", "doc_id").limit(200)
+    return locate.first_lines(docs(spark, d).select("source", "doc_id"), "source", "doc_id", 200)
 
 
 @query("o5_reference_cap", "SELECT source, doc_id FROM documents ORDER BY source, doc_id LIMIT 100000")
 def o5_reference(spark, d):
-    return docs(spark, d).select("source", "doc_id").orderBy("source", "doc_id").limit(100_000)
+    return locate.first_lines(docs(spark, d).select("source", "doc_id"), "source", "doc_id", 100_000)
 
 
 @query("o6_early_stop", _SERIES + "SELECT dataset, max(step) AS last_step, count(*) AS n FROM s WHERE step <= 2000 GROUP BY dataset")
