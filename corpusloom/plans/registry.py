@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import stats as S, text as X
-from ..operators import locate, permute, ranking, sampling, segment, series, summary, tokens
+from ..operators import boundaries, locate, permute, ranking, sampling, segment, series, summary, tokens
 from ..sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,6 +178,40 @@ def gs1(spark, d):
     return sentences(spark, d)
 
 
+_NOSP = "[^" + _SP[1:]
+_BARE = lambda c: f"""trim({c}, '"''()[]{{}},;:')"""
+_TYPE = lambda c: f"lower(rtrim({_BARE(c)}, '.?!'))"
+_LN = lambda x, q: f"CASE WHEN {x} = 0 THEN 0 ELSE {x} * ln({q}) END"
+_FIT = lambda q, r: " + ".join(f"({_LN(x, y)})" for x, y in (("a", q), ("(n - a)", f"(1 - {q})"), ("(b - a)", r), ("(w - n - b + a)", f"(1 - {r})")))
+_MODEL = f"""WITH words AS (SELECT doc_id, unnest(range(len(a))) AS p, unnest(a) AS w FROM (SELECT doc_id, {_WORDS('text')} AS a FROM documents)),
+typed AS (SELECT {_TYPE('w')} AS type, ends_with({_BARE('w')}, '.') AS stop, CASE WHEN right(w, 1) IN ('.', '!', '?') THEN lead({_TYPE('w')}) OVER (PARTITION BY doc_id ORDER BY p) END AS next FROM words),
+counted AS (SELECT type, count(*) AS n, count(*) FILTER (stop) AS k FROM typed GROUP BY type), own AS (SELECT * FROM counted WHERE regexp_matches(type, '\\p{{L}}') AND NOT regexp_matches(type, '[0-9]')),
+scored AS (SELECT type, k, -2 * (k * ln(p) + (n - k) * ln(1 - p) - k * ln(0.99::DOUBLE) - (n - k) * ln(0.01::DOUBLE)) * exp(-letters) * (length(type) - letters + 1) * pow(letters::DOUBLE, -(n - k)) AS score
+  FROM (SELECT *, length(replace(type, '.', '')) AS letters FROM own), (SELECT least(greatest(sum(k) / sum(n), 1e-9), 1 - 1e-9) AS p FROM own)),
+abbreviations AS (SELECT type, score FROM scored WHERE k > 0 AND score >= 0.3),
+ends AS (SELECT next AS type, count(*) AS a FROM typed t WHERE next IS NOT NULL AND NOT (stop AND type IN (SELECT type FROM abbreviations)) GROUP BY next),
+fits AS (SELECT type, a / n > b / w AS more, 2 * ({_FIT('(a / n)', '((b - a) / greatest(w - n, 1))')} - ({_FIT('(b / w)', '(b / w)')})) AS score
+  FROM (SELECT type, a::DOUBLE AS a, n::DOUBLE AS n FROM ends JOIN counted USING (type) WHERE regexp_matches(type, '\\p{{L}}')), (SELECT sum(n)::DOUBLE AS w FROM counted), (SELECT sum(a)::DOUBLE AS b FROM ends)),
+starters AS (SELECT type, score FROM fits WHERE more AND score >= 30)"""
+
+
+@query("gs2_boundary_model", _MODEL + " SELECT 'abbreviation' AS kind, type, round(score, 6) AS score FROM abbreviations UNION ALL SELECT 'starter', type, round(score, 6) FROM starters")
+def gs2_model(spark, d):
+    m = boundaries.train_boundaries(docs(spark, d))
+    return (m.abbreviations.select(F.lit("abbreviation").alias("kind"), "type", r6("score").alias("score"))
+            .unionByName(m.starters.select(F.lit("starter").alias("kind"), "type", r6("score").alias("score"))))
+
+
+@query("gs2_sentences", _MODEL + f""", parts AS (SELECT doc_id, a, s, unnest(range(len(a))) AS k FROM (SELECT doc_id, {_SPLIT('text')} AS a, regexp_extract_all(text, '[.!?]({_SP}+)', 1) AS s FROM documents)),
+placed AS (SELECT doc_id, k, a[k + 1] AS part, coalesce(s[k + 1], '') AS gap, regexp_extract(a[k + 1], '{_NOSP}+\\z') AS l, regexp_extract(coalesce(a[k + 2], ''), '^{_NOSP}+') AS r FROM parts),
+judged AS (SELECT *, ends_with({_BARE('l')}, '.') AND {_TYPE('l')} IN (SELECT type FROM abbreviations) AND r <> '' AND ({_TYPE('r')} NOT IN (SELECT type FROM starters) OR regexp_matches(r, '^\\p{{Ll}}')) AS goes_on FROM placed),
+numbered AS (SELECT *, coalesce(sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS pos FROM judged)
+SELECT doc_id, pos, string_agg(CASE WHEN goes_on THEN part || gap ELSE part END, '' ORDER BY k) AS sentence FROM numbered GROUP BY doc_id, pos""")
+def gs2(spark, d):
+    t = docs(spark, d).select("doc_id", "text")
+    return boundaries.model_sentences(t, boundaries.train_boundaries(t))
+
+
 @query("gs3_chunks", _SENT.replace("WITH", "WITH RECURSIVE", 1) + """, r AS (SELECT doc_id, pos, 0 AS chunk, length(sentence) + 1 AS cur FROM sent WHERE pos = 0 UNION ALL
 SELECT s.doc_id, s.pos, CASE WHEN r.cur + length(s.sentence) < 2000 THEN r.chunk ELSE r.chunk + 1 END, CASE WHEN r.cur + length(s.sentence) < 2000 THEN r.cur ELSE 0 END + length(s.sentence) + 1 FROM r JOIN sent s ON s.doc_id = r.doc_id AND s.pos = r.pos + 1)
 SELECT r.doc_id, r.chunk::INTEGER AS chunk, trim(array_to_string(list(s.sentence ORDER BY s.pos), ' '), ' ') AS body FROM r JOIN sent s ON s.doc_id = r.doc_id AND s.pos = r.pos GROUP BY 1, 2""")
