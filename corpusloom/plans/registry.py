@@ -493,6 +493,20 @@ def k5(spark, d):
                     F.md5(F.array_join(F.transform("losses", lambda x: F.format_string("%.2f", x)), ",")).alias("losses_md5"))
 
 
+@query("k5_merged_results", """WITH h AS (SELECT *, ts < TIMESTAMP '2024-01-16' AS early FROM events WHERE event_type IS NOT NULL)
+SELECT event_type AS dataset, count(*) AS total_steps, min(value) AS min_loss, max_by(value, {'t': ts, 'e': event_id}) AS final_loss FROM h WHERE early OR event_type <> 'click' GROUP BY event_type""")
+def k5_merged(spark, d):
+    """Results of two runs in one store: the first sees half of the time, the second all datasets but one."""
+    from ..sources import results_store
+    from ..sources.shared import new_folder
+
+    at, e = new_folder(spark, "results"), events(spark, d).where("event_type is not null")
+    run = lambda x: x.groupBy(F.col("event_type").alias("dataset")).agg(F.count("*").alias("total_steps"), F.min("value").alias("min_loss"), F.max_by("value", F.struct("ts", "event_id")).alias("final_loss"))
+    results_store.merge_results(run(e.where("ts < '2024-01-16'")), at, "first")
+    results_store.merge_results(run(e.where("event_type <> 'click'")), at, "second")
+    return results_store.read_results(spark, at)
+
+
 @query("k6_summary_json", _SERIES + """SELECT '{' || string_agg('"' || dataset || '":{"final_loss":' || final_loss || ',"min_loss":' || min_loss || ',"max_loss":' || max_loss || ',"steps":' || steps || '}', ',' ORDER BY dataset) || '}' AS json
 FROM (SELECT dataset, max_by(loss, step) AS final_loss, min(loss) AS min_loss, max(loss) AS max_loss, count(*) AS steps FROM s GROUP BY dataset)""")
 def k6(spark, d):
