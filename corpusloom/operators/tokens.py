@@ -86,24 +86,25 @@ def cut_example(ids: Column, cut: Column, width: int = WIDTH) -> tuple[Column, C
 def document_blocks(docs: DataFrame, key: str, words: Column, size: int = WIDTH) -> DataFrame:
     """S9 within a row: (key, block, tokens) of ``size`` words each; a ragged end goes. Blocks are
     slices, so nothing is shuffled."""
-    w = docs.select(key, words.alias("__w")).where(F.size("__w") >= size)
-    w = w.select(key, "__w", F.explode(F.sequence(F.lit(0), F.floor(F.size("__w") / size).cast("int") - 1)).alias("block"))
-    return w.select(key, F.col("block").cast("long").alias("block"), F.slice("__w", F.col("block") * size + 1, F.lit(size)).alias("tokens"))
+    cut = lambda w: F.transform(F.sequence(F.lit(0), F.floor(F.size(w) / size).cast("int") - 1), lambda k: F.struct(k.cast("long").alias("block"), F.slice(w, k * size + 1, F.lit(size)).alias("tokens")))
+    # Through an array of one, so that the words of a text are split once.
+    held = F.transform(F.array(words), lambda w: F.when(F.size(w) >= size, cut(w)))
+    return docs.select(key, F.explode(F.get(held, F.lit(0))).alias("x")).select(key, "x.*")
 
 
 def file_blocks(lines: DataFrame, file: str, key: str, text: str, words: Callable[[Column], Column], size: int = WIDTH) -> DataFrame:
-    """(file, block, tokens): the words of a file's lines, in order of (key, text), cut every ``size``
+    """(file, block, tokens): the words of a file's lines, in order of (key, words), cut every ``size``
     words; a file's ragged end goes. A line's place comes from the counts before it. Blocks inside one
     line are slices of it; only what is left at a line's two ends, less than a block each, meets others
     by (file, block). Null files are a file, null keys come first; lines without words add nothing."""
-    d = lines.select(file, key, text, F.size(words(F.col(text))).alias("__n")).where(F.col("__n") > 0)
-    d = running_offsets(sampled_ranges(d, [key], "__range"), [file], F.col("__range"), [key, text], F.col("__n"), "__at")
+    d = sampled_ranges(lines.select(file, key, text), [key], "__range").select(file, key, "__range", words(F.col(text)).alias("__w"))
+    d = running_offsets(d, [file], F.col("__range"), [key, "__w"], F.size("__w"), "__at").withColumn("__n", F.size("__w")).where("__n > 0")
     lead = F.least((-F.col("__at") % size + size) % size, F.col("__n")).cast("int")
     d = d.withColumns({"__lead": lead, "__block": F.ceil(F.col("__at") / size), "__whole": F.floor((F.col("__n") - lead) / size).cast("int")})
     part = lambda block, tokens: F.struct(block.cast("long").alias("block"), tokens.alias("tokens"))
-    whole = d.where("__whole > 0").select(file, "__lead", "__block", words(F.col(text)).alias("__w"), F.explode(F.expr("sequence(0, __whole - 1)")).alias("__k"))
+    whole = d.where("__whole > 0").select(file, "__lead", "__block", "__w", F.explode(F.expr("sequence(0, __whole - 1)")).alias("__k"))
     whole = whole.select(file, (F.col("__block") + F.col("__k")).cast("long").alias("block"), F.slice("__w", F.col("__lead") + F.col("__k") * size + 1, F.lit(size)).alias("tokens"))
-    ends = d.where((F.col("__lead") > 0) | (F.col("__whole") * size < F.col("__n"))).withColumn("__w", words(F.col(text)))
+    ends = d.where((F.col("__lead") > 0) | (F.col("__lead") + F.col("__whole") * size < F.col("__n")))
     rest = F.col("__lead") + F.col("__whole") * size
     ends = ends.select(file, "__at", F.explode(F.array(part(F.floor(F.col("__at") / size), F.slice("__w", F.lit(1), F.col("__lead"))),
                                                        part(F.col("__block") + F.col("__whole"), F.slice("__w", rest + 1, F.col("__n"))))).alias("x"))
