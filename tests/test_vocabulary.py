@@ -3,6 +3,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.operators import tokens
 from corpusloom.plans import registry
@@ -36,3 +37,13 @@ def test_null_and_repeated_keys(spark, tmp_path, name):
 def test_text_keys(spark):
     lines = spark.createDataFrame([("b", "xaa"), ("a", "yxy"), ("a", "yya")], "item string, text string")
     assert {r.token: r.id for r in tokens.vocabulary(lines, "item").collect()} == {"<PAD>": 0, "<UNK>": 1, "y": 2, "x": 3, "a": 4}
+
+
+def test_drawn_examples_look_up_what_they_hold(spark):
+    lines = spark.createDataFrame([(1, " " + "ab c" * 60 + "\n"), (2, "é\U0001f600 \U0001f600z"), (3, None), (4, "x"), (5, " ")], "doc_id long, text string")
+    vocab = tokens.vocabulary(lines)
+    e = tokens.encoded(lines, vocab)
+    want = {(r.doc_id, r.i): (r.input, r.target) for r in tokens.prefix_examples(e).collect()}
+    at = lines.select("doc_id", "text", tokens.example_count(F.col("text")).alias("n")).where("n > 0").select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
+    got = tokens.encoded_examples(at, vocab)
+    assert {(r.doc_id, r.i): (r.input, r.target) for r in got.collect()} == want and len(want) == 239 + 4
