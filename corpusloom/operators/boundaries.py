@@ -15,10 +15,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import SPACE, words
 from ..sources.shared import new_folder
+from .ranking import null_safe_join
 from .segment import BOUNDARY
 
 #: Marks around a word that are not part of it; least scores of abbreviations and of starters.
@@ -40,6 +41,12 @@ def has_stop(w: Column) -> Column:
     return F.endswith(F.btrim(w, F.lit(MARKS)), F.lit("."))
 
 
+def boundary_words(text: Column) -> tuple[Column, Column]:
+    """For each boundary of the plain rule, in order, the word before and the word after it (empty at a
+    text's end). Words are run over once and never tried again from within."""
+    return F.regexp_extract_all(text, F.lit(rf"(?<![^{SPACE}])([^{SPACE}]++)(?<=[.!?])[{SPACE}]+"), F.lit(1)), F.regexp_extract_all(text, F.lit(rf"[.!?](?=[{SPACE}]+([^{SPACE}]*+))"), F.lit(1))
+
+
 def boundary_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(type, stop, next, n) over all words: one scan, added up before the shuffle."""
     w = docs.select(words(F.col(text)).alias("w"))
@@ -89,19 +96,36 @@ def train_boundaries(docs: DataFrame, text: str = "text") -> BoundaryModel:
     return BoundaryModel(known, starters(counts, known))
 
 
+def joined_places(docs: DataFrame, model: BoundaryModel, key: str, text: str) -> DataFrame:
+    """(key, __print, places): the boundaries of the plain rule, counted from 0, that the model does not
+    see. ``__print`` is a hash of the text. The model's two lists are sent to all tasks: they hold types,
+    not places, and a join that deals places out by type would have one task for each frequent word."""
+    left, right = boundary_words(F.col(text))
+    at = docs.select(key, F.xxhash64(text).alias("__print"), F.posexplode(F.arrays_zip(left.alias("left"), right.alias("after"))).alias("k", "x")).select(key, "__print", "k", "x.*")
+    d = at.where(has_stop(F.col("left")) & (F.col("after") != "")).select(key, "__print", "k", "after", word_type(F.col("left")).alias("__left"), word_type(F.col("after")).alias("__right"))
+    d = d.join(F.broadcast(model.abbreviations.select(F.col("type").alias("__left"))), "__left", "left_semi")
+    d = d.join(F.broadcast(model.starters.select(F.col("type").alias("__right"), F.lit(True).alias("starts"))), "__right", "left")
+    d = d.where(F.col("starts").isNull() | F.col("after").rlike(r"^\p{Ll}"))
+    return d.groupBy(key, "__print").agg(F.collect_set("k").alias("places"))
+
+
 def model_sentences(docs: DataFrame, model: BoundaryModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """G-S2: (key, pos, sentence). Parts of the plain rule are joined again where the model sees no
-    boundary, with the white space that stood between them; none is added or lost within a sentence. Parts
-    meet the model by their words; only a text's own parts are put in order."""
-    zipped = docs.select(key, F.monotonically_increasing_id().alias("__row"), F.split(text, BOUNDARY).alias("p"), F.regexp_extract_all(F.col(text), F.lit(BOUNDARY), F.lit(0)).alias("s"))
-    at = zipped.select(key, "__row", F.posexplode(F.transform("p", lambda x, k: F.struct(x.alias("part"), F.get("s", k).alias("gap"), F.regexp_extract(F.get("p", k + 1), f"^[^{SPACE}]+", 0).alias("after")))).alias("k", "x"))
-    last = F.regexp_extract("x.part", rf"[^{SPACE}]+\z", 0)
-    d = at.select(key, "__row", "k", "x.*", F.when(has_stop(last), word_type(last)).alias("__left"), word_type(F.col("x.after")).alias("__right"))
-    d = d.join(model.abbreviations.select(F.col("type").alias("__left"), F.lit(True).alias("short")), "__left", "left")
-    d = d.join(model.starters.select(F.col("type").alias("__right"), F.lit(True).alias("starts")), "__right", "left")
-    goes_on = F.col("short").isNotNull() & (F.col("after") != "") & (F.col("starts").isNull() | F.col("after").rlike(r"^\p{Ll}"))
-    before = Window.partitionBy("__row").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("pos", F.coalesce(F.sum(F.when(goes_on, 0).otherwise(1)).over(before), F.lit(0)).cast("int"))
-    d = d.groupBy("__row", "pos").agg(F.first(key).alias(key), F.array_sort(F.collect_list(F.struct("k", "part", "gap"))).alias("x"))
-    held = F.transform("x", lambda e, i: F.when(i == F.size("x") - 1, e["part"]).otherwise(F.concat(e["part"], e["gap"])))
-    return d.select(key, "pos", F.array_join(held, "").alias("sentence"))
+    boundary, with the white space that stood between them; none is added or lost within a sentence. Only
+    words around boundaries meet the model; a text then meets its places by key and hash, once, and is put
+    together within its row."""
+    d = null_safe_join(docs.select(key, text, F.xxhash64(text).alias("__print")), joined_places(docs, model, key, text), [key, "__print"], "left")
+    # Through an array of one, so that a text is split once.
+    held = F.struct(F.split(text, BOUNDARY).alias("p"), F.regexp_extract_all(F.col(text), F.lit(BOUNDARY), F.lit(0)).alias("s"), F.col("places").alias("c"))
+
+    def whole(x: Column) -> Column:
+        last = F.size(x["p"]) - 1
+        pieces = F.flatten(F.zip_with(x["p"], x["s"], lambda a, b: F.array(a, b)))
+        ends = F.concat(F.array_except(F.sequence(F.lit(0), last - 1), x["c"]), F.array(last))
+        y = F.transform(F.array(F.struct(pieces.alias("q"), ends.alias("e"))), lambda v: F.zip_with(
+            v["e"], F.concat(F.array(F.lit(-1)), F.slice(v["e"], F.lit(1), F.size(v["e"]) - 1)),
+            lambda b, a: F.array_join(F.slice(v["q"], 2 * a + 3, 2 * (b - a) - 1), "")))
+        return F.get(y, F.lit(0))
+
+    made = F.get(F.transform(F.array(held), whole), F.lit(0))
+    return d.select(key, F.posexplode(F.when(F.col("places").isNull(), F.split(text, BOUNDARY)).otherwise(made)).alias("pos", "sentence"))

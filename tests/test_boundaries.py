@@ -82,3 +82,17 @@ def test_defined_cases(spark):
     none = B.train_boundaries(df.limit(0))
     assert none.abbreviations.count() == none.starters.count() == 0
     assert B.train_boundaries(spark.createDataFrame([(1, "one. two.")], "doc_id long, text string")).starters.count() == 0
+
+
+def test_texts_meet_the_model_by_their_places(spark):
+    texts = ["Dr. Smith came. etc. and so on.  The end. ", "", None, "  . . Dr. Smith. Dr.", "Dr. Smith came. etc. and so on.  The end. ", "no boundary", "A!? Dr.\n\nBaker left? e.g. x."]
+    df = spark.createDataFrame([(k if k != 3 else None, t) for k, t in enumerate(texts)] + [(0, "Prof. Weber. The rest."), (0, texts[0])], "doc_id long, text string")
+    known = spark.createDataFrame([(x, 1.0) for x in ("dr", "etc", "prof")], "type string, score double")
+    m = B.BoundaryModel(known, spark.createDataFrame([("the", 40.0)], "type string, score double"))
+    got = Counter((r.doc_id, r.pos, r.sentence) for r in B.model_sentences(df, m).collect())
+    first = ["Dr. Smith came.", "etc. and so on.", "The end.", ""]
+    want = [(0, first), (0, first), (4, first), (0, ["Prof. Weber.", "The rest."]), (1, [""]), (5, ["no boundary"]), (6, ["A!?", "Dr.\n\nBaker left?", "e.g.", "x."]), (None, ["  .", ".", "Dr. Smith.", "Dr."])]
+    assert got == Counter((k, pos, s) for k, parts in want for pos, s in enumerate(parts))
+    # Sentences are put together within their row: texts are not grouped again, and types are not dealt out.
+    plan = B.model_sentences(df, m)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "collect_list" not in plan
