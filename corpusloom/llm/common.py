@@ -93,15 +93,16 @@ def skew_join(rows: DataFrame, one: DataFrame, keys: list[str], sizes: DataFrame
     """rows joined with ``one``, which has a row per key at most. ``sizes``, a written table, has
     (keys, k): how many of the ``total`` rows hold a key. The hashes of hot keys, HOT at most, come to
     the driver; their rows are dealt out by a hash of ``by``, and their row of ``one`` goes to every
-    share. Keys of equal hash are dealt out alike, which changes no result."""
+    share. Keys of equal hash are dealt out alike, which changes no result. Without hot keys there is one
+    share and the join is of the same kind, so that runs over different inputs can be compared by join:
+    each gives a row for a row of ``rows`` at most."""
     hot = sizes.where(F.col("k") * HOT > total).select(F.xxhash64(*keys).alias("h"), "k").collect()
-    if not hot:
-        return rows.join(one, keys, how)
-    shares = min(SPLITS, max(-(-r["k"] * HOT // total) for r in hot))
-    is_hot = F.xxhash64(*keys).isin([r["h"] for r in hot])
-    dealt = F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(shares))).otherwise(0).cast("int")
-    every = F.when(is_hot, F.sequence(F.lit(0), F.lit(shares - 1))).otherwise(F.array(F.lit(0)))
-    return rows.withColumn("__share", dealt).join(one.withColumn("__share", F.explode(every)), [*keys, "__share"], how).drop("__share")
+    shares = min(SPLITS, max((-(-r["k"] * HOT // total) for r in hot), default=1))
+    dealt, every = F.pmod(F.xxhash64(by), F.lit(shares)), F.sequence(F.lit(0), F.lit(shares - 1))
+    if hot:
+        is_hot = F.xxhash64(*keys).isin([r["h"] for r in hot])
+        dealt, every = F.when(is_hot, dealt).otherwise(0), F.when(is_hot, every).otherwise(F.array(F.lit(0)))
+    return rows.withColumn("__share", dealt.cast("int")).join(one.withColumn("__share", F.explode(every)), [*keys, "__share"], how).drop("__share")
 
 
 _state: dict = {}
