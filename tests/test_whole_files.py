@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
-from corpusloom.operators import locate, tokens
+from corpusloom.operators import locate, ranking, tokens
 
 
 def lines(spark, n, seed):
@@ -31,6 +31,32 @@ def test_file_blocks(spark, size):
     assert tokens.file_blocks(df.limit(0), "source", "doc_id", "text", X.words, size).count() == 0
 
 
+def test_one_file_lies_in_many_tasks(spark):
+    s = spark.newSession()
+    s.conf.set("spark.sql.shuffle.partitions", "8")
+    s.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    s.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with texts too large for it
+    s.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    df = s.range(800).selectExpr("'a' source", "id doc_id", "repeat(concat(id, ' '), 32) text")
+    d = tokens.file_blocks(df, "source", "doc_id", "text", X.words, 16)
+    n = [r["count"] for r in d.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(n) == 1600 and max(n) < 400
+
+
+@pytest.mark.parametrize("rows", [30, 1_000_000])
+def test_file_blocks_of_lines_that_tie(spark, monkeypatch, rows):
+    monkeypatch.setattr(ranking, "ROWS", rows)
+    rng = random.Random(3)
+    data = [(rng.choice([None, "a", "b"]), rng.choice([None, *range(12)]), rng.choice([None, "", " ", "x", "x y z", "x y  z w", f"{k} u v w t s"])) for k in range(200)]
+    df = spark.createDataFrame(data, "source string, doc_id long, text string").repartition(3)
+    want = set()
+    for f in {r[0] for r in data}:
+        w = [t for r in sorted(((k, (t or "").split()) for g, k, t in data if g == f), key=lambda r: (r[0] is not None, r[0] or 0, r[1])) for t in r[1]]
+        want |= {(f, k, tuple(w[k * 4:k * 4 + 4])) for k in range(len(w) // 4)}
+    got = [(r.source, r.block, tuple(r.tokens)) for r in tokens.file_blocks(df, "source", "doc_id", "text", X.words, 4).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_document_blocks(spark):
     rows, df = lines(spark, 200, 5)
     want = {(r[1], k, tuple(r[2].split()[k * 4:k * 4 + 4])) for r in rows if r[1] is not None for k in range(len(r[2].split()) // 4)}
